@@ -69,3 +69,60 @@ def stored(df: DataFrame) -> DataFrame:
 def fold(column: str, modulus: int):
     """crc32 of a column's text modulo ``modulus``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+#: Up to this many ids are broadcast (some MB); beyond it, both sides are shuffled.
+BROADCAST_IDS = 200_000
+#: A key with at least 1 in this many rows is hot, so there are at most this many hot keys.
+HOT_SHARE = 1_000
+
+
+def only_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``id_col`` is (left_semi) or is not (left_anti) in ``ids``, a stored table of distinct ids."""
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), id_col, how)
+
+
+def look_up(df: DataFrame, found: DataFrame, key: str, rows: int) -> DataFrame:
+    """Left join of ``df`` with ``found``, which has one row for each key and its number of rows in ``df`` as ``_n``.
+
+    Keys with a thousandth of ``rows`` or more, of which there are a thousand at
+    most, are joined by broadcast, the others by shuffle; so no task gets more
+    than its share of a hot key. ``_n`` isn't in the result.
+    """
+    least = max(HOT_SHARE, rows // HOT_SHARE)
+    new = [c for c in found.columns if c not in (key, "_n")]
+    hot = found.where(F.col("_n") >= least).select(F.col(key), F.struct(*new).alias("_hot"))
+    cold = found.where(F.col("_n") < least).select(F.col(key), F.struct(*new).alias("_cold"))
+    both = df.join(F.broadcast(hot), key, "left")
+    # a hot row's key is salted away from the shuffle: it can't match a cold key
+    both = both.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)))
+    both = both.withColumn("_salt", F.when(F.col("_key").isNull(), F.spark_partition_id()).otherwise(F.lit(-1)))
+    cold = cold.withColumnRenamed(key, "_key").withColumn("_salt", F.lit(-1))
+    both = both.join(cold, ["_key", "_salt"], "left")
+    return both.select(*df.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in new))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes with a link; ``links`` has (a, b), a component is its smallest node.
+
+    Large-star and small-star rounds: each node's neighbours move to the smallest
+    of them until nothing changes. Rounds end in stored tables; two numbers about
+    each reach the driver. The star's joins are inner joins on one key, which
+    adaptive execution splits where a node has very many links.
+    """
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            break
+        before = now
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+        edges = stored(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct())
+    # every u now hangs on its component's smallest node
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordlattice.llm import bpe, decontam, langid, pii, quality, toxicity
+from wordlattice.llm import bpe, decontam, jaccard, langid, pii, quality, toxicity
 from wordlattice.llm.common import fold, table
 
 
@@ -42,7 +42,11 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.predict(held, model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op5_pii, op6_decontaminate, op7_language_id, op8_toxicity)}
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op5_pii, op6_decontaminate, op7_language_id, op8_toxicity, op10_ngram_jaccard)}
 
 #: The same in DuckDB's SQL, where SQL can express it.
 ORACLES: dict[str, str] = {}
