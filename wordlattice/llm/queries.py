@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordlattice.llm import bpe, decontam, jaccard, langid, pii, quality, toxicity
+from wordlattice.llm import arc, bpe, decontam, embdedup, jaccard, langid, pii, quality, tokenfile, toxicity
 from wordlattice.llm.common import fold, table
 
 
@@ -19,6 +19,14 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
 
+def op3_arc_to_warc(spark, sf_dir):
+    return arc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_embedding_dedup(spark, sf_dir):
+    return embdedup.join(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
@@ -42,11 +50,16 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.predict(held, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_token_files(spark, sf_dir):
+    return tokenfile.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op5_pii, op6_decontaminate, op7_language_id, op8_toxicity, op10_ngram_jaccard)}
+_ALL = op1_quality, op2_byte_bpe, op3_arc_to_warc, op4_embedding_dedup, op5_pii, op6_decontaminate, op7_language_id, op8_toxicity, op9_token_files, op10_ngram_jaccard
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: The same in DuckDB's SQL, where SQL can express it.
 ORACLES: dict[str, str] = {}
