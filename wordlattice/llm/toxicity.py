@@ -2,7 +2,7 @@
 
 A text's features are the presence of its hashed character n-grams. Each is
 scaled by the log ratio of its smoothed shares among toxic and other texts, and
-a logistic regression is fitted to the scaled features. The fit uses at most
+a logistic regression is fitted to those whose ratio is clear. The fit uses at most
 SAMPLE labelled texts (those with the smallest hash of their id), and of a very
 long text at most FIT_CHARS characters from evenly spread stretches; scoring
 reads every text in whole.
@@ -19,20 +19,21 @@ from pyspark.sql import types as T
 
 from wordlattice.llm.common import with_columns
 
-SAMPLE = 6_000
+SAMPLE = 10_000
 FIT_CHARS = 20_000
-SIZES = (4, 5)
-BITS = 18
-ROUNDS = 150
-RIDGE = 2e-4
-#: An n-gram of fewer sampled texts gets no weight.
-LEAST = 4
+SIZES = (6, 8)
+BITS = 20
+ROUNDS = 100
+RIDGE = 1e-3
+#: An n-gram of fewer sampled texts, or with a log ratio nearer to 0, gets no weight.
+LEAST = 5
+CLEAR = 1.75
 
 
-def features(text: str | None, sizes=SIZES, bits: int = BITS) -> np.ndarray:
-    """Distinct hashed n-grams of the lower-cased text between blanks."""
+def hashed(text: str | None, sizes=SIZES, bits: int = BITS) -> np.ndarray:
+    """Hashes of the n-grams of the lower-cased text between blanks, in order of size and place."""
     points = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    parts = []
+    parts = [np.zeros(0, np.uint64)]
     for n in sizes:
         if len(points) < n:
             continue
@@ -41,11 +42,7 @@ def features(text: str | None, sizes=SIZES, bits: int = BITS) -> np.ndarray:
             h = (h ^ points[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
         parts.append(h >> np.uint64(64 - bits))
-    if not parts:
-        return np.zeros(0, np.int64)
-    seen = np.zeros(1 << bits, bool)
-    seen[np.concatenate(parts)] = True
-    return np.flatnonzero(seen)
+    return np.concatenate(parts).astype(np.int64)
 
 
 @dataclass
@@ -56,7 +53,8 @@ class Model:
     bits: int = BITS
 
     def score(self, text: str | None) -> float:
-        x = self.bias + float(self.weights[features(text, self.sizes, self.bits)].sum())
+        h = hashed(text, self.sizes, self.bits)
+        x = self.bias + float(self.weights[np.unique(h[self.weights[h] != 0])].sum())
         return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
@@ -69,16 +67,14 @@ def fit(texts: list[str | None], labels: list[int], sizes=SIZES, bits: int = BIT
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(1 << bits), float(np.log(share / (1 - share))), sizes, bits)
-    rows = [features(t, sizes, bits).astype(np.int32) for t in texts]
-    columns, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
-    del rows
-    toxic = np.repeat(y, lengths)
-    p, n = np.bincount(columns, toxic, 1 << bits), np.bincount(columns, 1 - toxic, 1 << bits)
+    p, n = np.zeros(1 << bits), np.zeros(1 << bits)
+    for text, label in zip(texts, labels, strict=True):
+        (p if label else n)[hashed(text, sizes, bits)] += 1  # presence: an index counts once
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((n + 1) / (n + 1).sum())
-    ratio[p + n < LEAST] = 0
-    keep = ratio[columns] != 0
-    ids, columns = np.repeat(np.arange(len(y), dtype=np.int32), lengths)[keep], columns[keep]
-    scale = ratio[columns].astype(np.float32)
+    ratio[(p + n < LEAST) | (np.abs(ratio) < CLEAR)] = 0
+    rows = [np.unique(h[ratio[h] != 0]) for h in (hashed(t, sizes, bits) for t in texts)]
+    ids, columns = np.repeat(np.arange(len(y)), [len(r) for r in rows]), np.concatenate(rows)
+    scale = ratio[columns]
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 
     def forward(w):
