@@ -171,13 +171,11 @@ def from_words(spark: SparkSession, words: list[tuple[str, float | None]], **opt
 def stats(entries: DataFrame) -> DataFrame:
     """(statistic, bucket, n): words, counted words, one-cluster words, and histograms of clusters (to 8) and cost / 4 (to 7)."""
     clusters, cost = F.least("n_clusters", F.lit(8)), F.least(F.floor(F.col("cost") / 4), F.lit(7))
-    rows = F.array(
-        F.struct(F.lit("words").alias("statistic"), F.lit(0).cast("long").alias("bucket"), F.lit(1).alias("hit")),
-        F.struct(F.lit("counted"), F.lit(0).cast("long"), (F.col("count") > 0).cast("int")),
-        F.struct(F.lit("one_cluster"), F.lit(0).cast("long"), (F.col("n_clusters") == 1).cast("int")),
-        F.struct(F.lit("clusters"), clusters.cast("long"), F.lit(1)),
-        F.struct(F.lit("cost"), cost.cast("long"), F.lit(1)),
-    )
+    def row(name: str, bucket, hit):
+        return F.struct(F.lit(name).alias("statistic"), bucket.cast("long").alias("bucket"), hit.cast("int").alias("hit"))
+
+    zero, one = F.lit(0), F.lit(1)
+    rows = F.array(row("words", zero, one), row("counted", zero, F.col("count") > 0), row("one_cluster", zero, F.col("n_clusters") == 1), row("clusters", clusters, one), row("cost", cost, one))
     return entries.select(F.explode(rows).alias("x")).groupBy(F.col("x.statistic").alias("statistic"), F.col("x.bucket").alias("bucket")).agg(F.sum("x.hit").alias("n"))
 
 
