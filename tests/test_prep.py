@@ -61,9 +61,9 @@ def test_bracketed_lines(spark):
 
 def test_hard_em(spark):
     vocabulary = spark.createDataFrame([(i, w) for i, w in enumerate(["ក", "ខ", "កខ", "គ", "ឃង"])], "line long, word string")
-    gold = spark.createDataFrame([(i, s) for i, s in enumerate(["កខ គ", "កខ ឃង", "គ កខ", "ឃង គ"] * 5)], "line long, s string").select("line", F.split("s", " ").alias("gold_words"))
-    corpus = gold.select("line", F.array_join("gold_words", "").alias("text")).unionByName(spark.createDataFrame([(99, "ចចច" + "គ")] * 3, "line long, text string"))
-    best, scores, tally = prep.hard_em(corpus, vocabulary, gold, rounds=2, words_col="gold_words")
+    gold = spark.createDataFrame([(i, s) for i, s in enumerate(["កខ គ", "កខ ឃង", "គ កខ", "ឃង គ"] * 5)], "line long, s string").select("line", F.split("s", " ").alias("gold"))
+    corpus = gold.select("line", F.array_join("gold", "").alias("text")).unionByName(spark.createDataFrame([(99, "ចចច" + "គ")] * 3, "line long, text string"))
+    best, scores, tally = prep.hard_em(corpus, vocabulary, gold, rounds=2)
     assert len(scores) == 3 and max(scores) == 100.0
     counts = {r.word: r["count"] for r in best.entries.collect()}
     assert set(counts) == {"ក", "ខ", "កខ", "គ", "ឃង"}

@@ -266,9 +266,9 @@ scores AS (SELECT doc_id, sent, gold, pred, coalesce(correct, 0) AS correct, gol
 @query(f"{_PATHS}, {fx.walk_sql()}, {_SPANS_SQL} SELECT doc_id, sent, gold::BIGINT AS n_gold, pred::BIGINT AS n_pred, correct, b_gold::BIGINT AS b_gold, b_pred::BIGINT AS b_pred, b_correct, exact FROM scores")
 def eval_scores(spark, sf_dir) -> DataFrame:
     lex = fx.lexicon(spark, sf_dir)
-    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold_words")
-    scored = evaluate.with_scores(evaluate.predict(gold, lex, Options("fmm"), "gold_words"), "gold_words")
-    return scored.select("doc_id", "sent", F.col("gold").alias("n_gold"), F.col("pred").alias("n_pred"), "correct", "b_gold", "b_pred", "b_correct", "exact")
+    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
+    scored = evaluate.with_scores(evaluate.predict(gold, lex, Options("fmm")))
+    return scored.select("doc_id", "sent", "n_gold", "n_pred", F.col("n_correct").alias("correct"), "b_gold", "b_pred", "b_correct", "exact")
 
 
 _SUMMARY = [("precision", "p"), ("recall", "r"), ("f1", "2 * p * r / (p + r)"), ("b_f1", "2 * bp * br / (bp + br)"), ("exact_match", "x")]
@@ -277,8 +277,8 @@ _SUMMARY = [("precision", "p"), ("recall", "r"), ("f1", "2 * p * r / (p + r)"),
 @query(f"{_PATHS}, {fx.walk_sql()}, {_SPANS_SQL}, t AS (SELECT count(*) AS sentences, sum(correct) / sum(pred) AS p, sum(correct) / sum(gold) AS r, sum(b_correct) / sum(b_pred) AS bp, sum(b_correct) / sum(b_gold) AS br, sum(exact) / count(*) AS x FROM scores) SELECT sentences, {', '.join(f'round({e}, 9) AS {n}' for n, e in _SUMMARY)} FROM t")
 def eval_summary(spark, sf_dir) -> DataFrame:
     lex = fx.lexicon(spark, sf_dir)
-    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold_words")
-    scored = evaluate.with_scores(evaluate.predict(gold, lex, Options("fmm"), "gold_words"), "gold_words")
+    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
+    scored = evaluate.with_scores(evaluate.predict(gold, lex, Options("fmm")))
     return evaluate.summary(scored).select("sentences", *(F.round(n, 9).alias(n) for n, _ in _SUMMARY))
 
 
@@ -286,8 +286,8 @@ def eval_summary(spark, sf_dir) -> DataFrame:
 SELECT count(*) FILTER (iv) AS iv_gold, count(*) FILTER (iv AND hit) AS iv_correct, count(*) FILTER (NOT iv) AS oov_gold, count(*) FILTER (NOT iv AND hit) AS oov_correct FROM known""")
 def oov_split(spark, sf_dir) -> DataFrame:
     lex = fx.lexicon(spark, sf_dir)
-    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold_words")
-    scored = evaluate.with_scores(evaluate.predict(gold, lex, Options("fmm"), "gold_words"), "gold_words", vocabulary=lex.entries)
+    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
+    scored = evaluate.with_scores(evaluate.predict(gold, lex, Options("fmm")), vocabulary=lex.entries)
     return evaluate.summary(scored).select("iv_gold", "iv_correct", "oov_gold", "oov_correct")
 
 
@@ -305,15 +305,15 @@ def em_round(spark, sf_dir) -> DataFrame:
 def sweep_unknown_cost(spark, sf_dir) -> DataFrame:
     """Rows only: Viterbi at several costs."""
     gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
-    return evaluate.sweep(gold.withColumnRenamed("gold", "gold_words"), fx.lexicon(spark, sf_dir), "unknown_cost", evaluate.grid(8, 16, 4), words_col="gold_words")
+    return evaluate.sweep(gold, fx.lexicon(spark, sf_dir), "unknown_cost", evaluate.grid(8, 16, 4))
 
 
 @query()
 def bootstrap_interval(spark, sf_dir) -> DataFrame:
     """Rows only: a Poisson bootstrap of F1, 200 samples."""
     lex = fx.lexicon(spark, sf_dir)
-    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold_words")
-    scored = evaluate.with_scores(evaluate.predict(gold, lex, Options("fmm"), "gold_words"), "gold_words").withColumn("line", F.concat_ws(":", "doc_id", "sent"))
+    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
+    scored = evaluate.with_scores(evaluate.predict(gold, lex, Options("fmm"))).withColumn("line", F.concat_ws(":", "doc_id", "sent"))
     samples = evaluate.bootstrap_samples(scored, 200)
     return samples.agg(F.round(F.min("f1"), 6).alias("low"), F.round(F.avg("f1"), 6).alias("mean"), F.round(F.max("f1"), 6).alias("high"), F.count("*").alias("samples"))
 
