@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordlattice.llm import arc, bpe, decontam, embdedup, jaccard, langid, pii, quality, tokenfile, toxicity
+from wordlattice.llm import arc, bpe, decontam, embdedup, jaccard, langid, oracles, pii, quality, tokenfile, toxicity
 from wordlattice.llm.common import fold, table
 
 
@@ -62,4 +62,9 @@ _ALL = op1_quality, op2_byte_bpe, op3_arc_to_warc, op4_embedding_dedup, op5_pii,
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: The same in DuckDB's SQL, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_arc_to_warc": oracles.ARC,
+    "op4_embedding_dedup": oracles.EMBEDDINGS,
+    "op6_decontaminate": oracles.DECONTAMINATE,
+    "op10_ngram_jaccard": oracles.JACCARD,
+}
