@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from wordlattice.functions import charsets as cs
 
@@ -30,6 +31,7 @@ def is_orphan(cluster: str) -> bool:
     return c in cs.MARKS or c == "joiner"
 
 
+@lru_cache(1 << 16)
 def normalize_cluster(cluster: str) -> str:
     """A cluster with its marks in canonical order, inherent vowels and repeated marks dropped."""
     if len(cluster) < 2 or not _BASE.match(cluster) or _STOP.search(cluster):

@@ -7,8 +7,6 @@ text of whole clusters.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from wordlattice.functions import kernels
 
 ALGORITHMS = ("viterbi", "fmm", "bmm", "bimm")
@@ -18,28 +16,50 @@ EPSILON = 1e-9
 Piece = tuple[int, int, int | None]
 
 
-@dataclass
+class Trie:
+    """Words as sequences of symbols (small integers) in one flat table: node * symbols + symbol -> node."""
+
+    def __init__(self, symbols: int):
+        self.symbols, self.steps, self.nodes = symbols, {}, 1
+        self.hits: dict[int, tuple[int, float]] = {}
+
+    def add(self, word, hit: tuple[int, float]) -> None:
+        node = 0
+        for c in word:
+            key = node * self.symbols + c
+            if (to := self.steps.get(key)) is None:
+                to = self.steps[key] = self.nodes
+                self.nodes += 1
+            node = to
+        self.hits[node] = hit
+
+
 class Decoder:
-    """A lexicon ready for look-up on an executor."""
+    """A lexicon ready for look-up on an executor: some hundred bytes for each entry."""
 
-    words: dict[str, tuple[int, float]]
-    unknown_cost: float
-    algorithm: str = "viterbi"
-    max_clusters: int = 1
-    prefixes: set[str] = field(default_factory=set)
+    def __init__(self, unknown_cost: float, algorithm: str, symbol: dict[str, int], forward: Trie | None, reverse: Trie | None):
+        self.unknown_cost, self.algorithm = unknown_cost, algorithm
+        self.symbol, self.ahead, self.behind = symbol, forward, reverse
 
     @classmethod
     def of(cls, words: dict[str, tuple[int, float]], unknown_cost: float, algorithm: str = "viterbi") -> Decoder:
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {algorithm!r}")
-        prefixes, longest = set(), 1
-        for word in words:
-            parts, text = kernels.clusters(word), ""
-            longest = max(longest, len(parts))
-            for p in parts:
-                text += p
-                prefixes.add(text)
-        return cls(words, unknown_cost, algorithm, longest, prefixes)
+        symbol: dict[str, int] = {}
+        parts = [([symbol.setdefault(c, len(symbol)) for c in kernels.clusters(w)], hit) for w, hit in words.items()]
+        size = len(symbol) + 1  # the last symbol stands for clusters that no word has
+        ahead = Trie(size) if algorithm != "bmm" else None
+        behind = Trie(size) if algorithm in ("bmm", "bimm") else None
+        for word, hit in parts:
+            if ahead:
+                ahead.add(word, hit)
+            if behind:
+                behind.add(word[::-1], hit)
+        return cls(unknown_cost, algorithm, symbol, ahead, behind)
+
+    def _symbols(self, clusters: list[str]) -> list[int]:
+        get, other = self.symbol.get, len(self.symbol)
+        return [get(c, other) for c in clusters]
 
     def pieces(self, clusters: list[str]) -> list[Piece]:
         """The chosen path, unknown clusters one by one."""
@@ -57,32 +77,37 @@ class Decoder:
         """Pieces, unknown pieces, one-cluster words: fewer are better."""
         return len(path), sum(e is None for _, _, e in path), sum(e is not None and b - a == 1 for a, b, e in path)
 
-    def forward(self, clusters: list[str]) -> list[Piece]:
-        """From the start, the longest word at each place."""
-        out, p, n = [], 0, len(clusters)
+    @staticmethod
+    def _longest(trie: Trie, symbols: list[int]) -> list[tuple[int, int | None]]:
+        """From the start, the longest word at each place, as (clusters, entry)."""
+        out, p, n = [], 0, len(symbols)
+        steps, hits, size = trie.steps, trie.hits, trie.symbols
         while p < n:
-            text, best = "", None
-            for q in range(p, min(n, p + self.max_clusters)):
-                text += clusters[q]
-                if text not in self.prefixes:
+            node, best = 0, (1, None)
+            for q in range(p, n):
+                node = steps.get(node * size + symbols[q])
+                if node is None:
                     break
-                if (hit := self.words.get(text)) is not None:
-                    best = p, q + 1, hit[0]
-            out.append(best or (p, p + 1, None))
-            p = out[-1][1]
+                if (hit := hits.get(node)) is not None:
+                    best = q + 1 - p, hit[0]
+            out.append(best)
+            p += best[0]
+        return out
+
+    def forward(self, clusters: list[str]) -> list[Piece]:
+        """From the start, the longest word at each place."""
+        out, p = [], 0
+        for size, entry in self._longest(self.ahead, self._symbols(clusters)):
+            out.append((p, p + size, entry))
+            p += size
         return out
 
     def backward(self, clusters: list[str]) -> list[Piece]:
         """From the end, the longest word that ends at each place."""
         out, e = [], len(clusters)
-        while e:
-            best = None
-            for s in range(max(0, e - self.max_clusters), e):
-                if (hit := self.words.get("".join(clusters[s:e]))) is not None:
-                    best = s, e, hit[0]
-                    break
-            out.append(best or (e - 1, e, None))
-            e = out[-1][0]
+        for size, entry in self._longest(self.behind, self._symbols(clusters)[::-1]):
+            out.append((e - size, e, entry))
+            e -= size
         return out[::-1]
 
     def table(self, clusters: list[str]) -> tuple[list[float], list[int], list[tuple[int, int | None]]]:
@@ -92,16 +117,16 @@ class Decoder:
         unknown cluster last. An edge wins if it is cheaper by more than EPSILON,
         or no dearer than that and of fewer pieces; so the order counts.
         """
-        n = len(clusters)
+        n, symbols = len(clusters), self._symbols(clusters)
         cost, count, back = [0.0] + [float("inf")] * n, [0] * (n + 1), [(0, None)] * (n + 1)
-        words, prefixes, unknown = self.words, self.prefixes, self.unknown_cost
+        steps, hits, size, unknown = self.ahead.steps, self.ahead.hits, self.ahead.symbols, self.unknown_cost
         for p in range(n):
-            here, pieces, text = cost[p], count[p] + 1, ""
-            for q in range(p + 1, min(n, p + self.max_clusters) + 1):
-                text += clusters[q - 1]
-                if text not in prefixes:
+            here, pieces, node = cost[p], count[p] + 1, 0
+            for q in range(p + 1, n + 1):
+                node = steps.get(node * size + symbols[q - 1])
+                if node is None:
                     break
-                if (hit := words.get(text)) is not None:
+                if (hit := hits.get(node)) is not None:
                     c = here + hit[1]
                     if c < cost[q] - EPSILON or (c <= cost[q] + EPSILON and pieces < count[q]):
                         cost[q], count[q], back[q] = c, pieces, (p, hit[0])

@@ -23,10 +23,14 @@ def runs(lines: DataFrame, text_col: str = "text", normalize: bool = True) -> Da
 
 def spans(parts: DataFrame, most: int, *keys: str) -> DataFrame:
     """(keys, from, to, word): all spans of at most ``most`` clusters of the array ``parts``."""
-    begin = parts.select(*keys, "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("from")).where("size(parts) > 0")
-    ends = F.sequence(F.col("from") + 1, F.least(F.size("parts"), F.col("from") + most))
-    out = begin.select(*keys, "parts", "from", F.explode(ends).alias("to"))
-    return out.select(*keys, "from", "to", F.array_join(F.slice("parts", F.col("from") + 1, F.col("to") - F.col("from")), "").alias("word"))
+    n = F.size("parts")
+
+    def ends(f: Column) -> Column:
+        return F.transform(F.sequence(f + 1, F.least(n, f + most)), lambda t: F.struct(f.alias("from"), t.alias("to"), F.array_join(F.slice("parts", f + 1, t - f), "").alias("word")))
+
+    # the texts are made within the row, so that exploded rows don't drag its clusters along
+    every = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), ends))
+    return parts.where(n > 0).select(*keys, F.explode(every).alias("s")).select(*keys, "s.from", "s.to", "s.word")
 
 
 def lattice(parts: DataFrame, entries: DataFrame, most: int, *keys: str, unknown_cost: float | None = None) -> DataFrame:
