@@ -186,12 +186,15 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontam.report(df.limit(0), bench).collect() == []
 
 
-def test_decontamination_filter(spark):
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_decontamination_filter(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     passage = " ".join(f"q{i}" for i in range(20))
     clean = "Some clean words, here; and there."
     rows = [(1, clean), (2, f"{clean} " * 6 + passage.upper() + f" tail. {clean}"), (3, passage), (4, None), (5, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
-    bench = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    bench = spark.createDataFrame([(9, passage), (10, "v" * 200), (11, "u" * 200)], "item_id long, text string")
+    assert decontam.block_count(bench) == (1 if block > 1000 else 5)
     out = decontam.filter_spans(df, bench)
     assert out.columns == df.columns
     got = {r.doc_id: r.text for r in out.collect()}

@@ -83,11 +83,17 @@ class Windows:
         return hit, items
 
 
+def block_count(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> int:
+    """How many blocks the benchmark is sent in."""
+    text, item = F.octet_length(text_col), F.octet_length(F.col(item_col).cast("string"))
+    size = benchmark.agg(F.coalesce(F.sum(F.coalesce(text, F.lit(0)) + F.coalesce(item, F.lit(0)) + 64), F.lit(0))).first()[0]
+    return -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1
+
+
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW):
     """Yields Windows over parts of the benchmark that hold about BLOCK_BYTES of text or less."""
+    count = block_count(benchmark, item_col, text_col)
     b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    size = b.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    count = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
     for k in range(count):
         part = b if count == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
         yield Windows([(r.item, r.text) for r in part.collect()], window)
@@ -169,18 +175,22 @@ def filter_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """``df`` without benchmark passages: hit words are cut out of texts, and documents of which more than ``whole`` was hit go.
 
     What a cut leaves is scanned again until nothing is hit, as words on its two
-    sides may form another window. Clean texts pass unchanged, nulls included.
+    sides may form another window. Clean texts pass unchanged, nulls included. A
+    benchmark of one block is scanned in one pass; with more blocks, each round
+    passes all of them and ends in a stored table.
     """
-    shared = [df.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, bench_text_col, window)]
+    order = df.columns
+    if block_count(benchmark, item_col, bench_text_col) > 1:
+        return _filter_by_rounds(df, benchmark, text_col, item_col, bench_text_col, window, whole).select(*order)
+    (block,) = blocks(benchmark, item_col, bench_text_col, window)
+    shared = df.sparkSession.sparkContext.broadcast(block)
 
     def clean(text):
-        total = lost = None
+        total, lost = None, 0
         while True:
             tokens = words(text)
-            hit = np.zeros(len(tokens), bool)
-            for s in shared:
-                hit |= s.value.scan(tokens)[0]
-            total, lost = total or len(tokens), (lost or 0) + int(hit.sum())
+            hit, _ = shared.value.scan(tokens)
+            total, lost = len(tokens) if total is None else total, lost + int(hit.sum())
             if not hit.any():
                 return text, False
             if lost > whole * total:
@@ -194,6 +204,31 @@ def filter_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         return compute
 
-    order = df.columns
     fields = [T.StructField(text_col, T.StringType()), T.StructField("_gone", T.BooleanType())]
     return with_columns(df, [text_col], fields, factory).where("not _gone").select(*order)
+
+
+def _filter_by_rounds(df, benchmark, text_col, item_col, bench_text_col, window, whole) -> DataFrame:
+    def factory():
+        def compute(texts, hits, totals, losses):
+            out = [[], [], [], [], []]
+            for text, h, total, lost in zip(texts, hits, totals, losses, strict=True):
+                hit = np.frombuffer(h, bool)
+                total, lost = len(hit) if total is None else total, lost + int(hit.sum())
+                gone = hit.any() and lost > whole * total
+                row = _cut(text, hit) if hit.any() and not gone else text, total, lost, bool(gone), bool(hit.any() and not gone)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            return out
+
+        return compute
+
+    fields = [T.StructField(text_col, T.StringType()), T.StructField("_total", T.LongType()), T.StructField("_lost", T.LongType()), T.StructField("_gone", T.BooleanType()), T.StructField("_again", T.BooleanType())]
+    state = df.withColumn("_total", F.lit(None).cast("long")).withColumn("_lost", F.lit(0).cast("long"))
+    while True:
+        found = _scanned(state, benchmark, text_col, item_col, bench_text_col, window)
+        done = with_columns(found, [text_col, "_hits", "_total", "_lost"], fields, factory)
+        state = stored(done.where("not _gone").drop("_hits", "_items", "_gone"))
+        if state.where("_again").isEmpty():
+            return state
+        state = state.drop("_again")
