@@ -22,6 +22,7 @@ import heapq
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
@@ -36,7 +37,7 @@ LEAF = 24
 #: Up to this many bytes the tokenizer library's kernel for one match merges a leaf or a window.
 SHORT = 96
 #: Distinct matches remembered by a worker; the memory is cleared when full.
-MEMO = 250_000
+MEMO = 120_000
 NEVER = 1 << 62
 
 
@@ -152,7 +153,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, patte
 
     def factory():
         c = codec(path, pattern)
-        return lambda texts: [[c.encode(t or "") for t in texts]]
+        return lambda texts: [[np.array(c.encode(t or ""), np.int32) for t in texts]]
 
     return with_columns(df, [text_col], [T.StructField("token_ids", T.ArrayType(T.IntegerType()))], factory)
 
@@ -168,13 +169,14 @@ def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None, p
     return with_columns(df, [ids_col], [T.StructField("decoded", T.BinaryType())], factory)
 
 
-def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False) -> DataFrame:
     """``df`` with digests of each text's encoding and of what it decodes to.
 
     Adds ``n_tokens`` (long), ``ids_sha256`` (of the decimal ids joined by one
     space) and ``decoded_sha256``. Null and empty texts have no tokens and the
     digest of the empty string; repeated rows stay; an empty table stays empty.
-    The ids live only for the row at hand, so memory is bound by one text.
+    With ``keep_ids`` the ids themselves are added as ``token_ids``; otherwise they
+    live only for the row at hand.
     """
     path = path or public_tokenizers.path(RANKS)
 
@@ -182,15 +184,19 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, p
         c = codec(path, pattern)
 
         def compute(texts):
-            counts, id_digests, text_digests = [], [], []
+            counts, id_digests, text_digests, kept = [], [], [], []
             for text in texts:
                 ids = c.encode(text or "")
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                 text_digests.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            return counts, id_digests, text_digests
+                if keep_ids:
+                    kept.append(np.array(ids, np.int32))
+            return (counts, id_digests, text_digests, kept) if keep_ids else (counts, id_digests, text_digests)
 
         return compute
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if keep_ids:
+        fields.append(T.StructField("token_ids", T.ArrayType(T.IntegerType())))
     return with_columns(df, [text_col], fields, factory)

@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Rows that a Python function turns into objects at once; an Arrow batch may hold more.
+SLICE = 500
+
+
+def slices(batches):
+    """Arrow batches in slices of SLICE rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def with_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructField], factory: Callable[[], Callable]) -> DataFrame:
     """``df`` with ``fields`` computed from ``inputs`` by an Arrow-batched Python function.
 
@@ -36,7 +47,7 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructFiel
 
     def run(batches):
         compute = factory()
-        for batch in batches:
+        for batch in slices(batches):
             out = compute(*[batch.column(i).to_pylist() for i in read])
             arrays = [batch.column(i) for i in places] + [pa.array(x, t) for x, t in zip(out, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -22,9 +22,9 @@ from wordlattice.llm.common import with_columns
 N = 3
 DIMENSIONS = 512
 #: n-gram vectors remembered by a worker (float32), cleared when full.
-ROWS = 24_000
+ROWS = 12_000
 #: n-grams that a training task counts before it bundles them.
-PENDING = 200_000
+PENDING = 100_000
 UNKNOWN = "und"
 
 
