@@ -38,7 +38,7 @@ def mask_pii(spark, docs, sf_dir):
 
 def tokenize(spark, docs, sf_dir):
     """doc_id, token ids and the digests of the encoding and of what it decodes to."""
-    return bpe.round_trip(bpe.encode(docs.select("doc_id", "text"))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+    return bpe.round_trip(docs.select("doc_id", "text"), keep_ids=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 
 STAGES = [
