@@ -5,18 +5,20 @@ five-word shingles. All shingles are ordered by estimated frequency, rare ones
 first. If a text of n shingles needs k = ceil(0.75 n) common ones, any partner
 shares at least l of its first n - k + l shingles. Each text chooses its own l:
 a longer prefix costs more index rows, but asks more of a candidate. A pair
-must share as many prefix shingles as the smaller l of both, and is then
-verified on the texts themselves.
+must share as many prefix shingles as the smaller l of both, early enough in both
+for the sets to have as many in common as they need, and is then verified on the
+texts themselves.
 
 Steps, each over all rows:
 1. Hash the shingles; count them in a fixed-size sketch. Texts with equal sets
    form a class, of which one goes on.
 2. Choose prefixes; index them by shingle.
 3. In each shingle's list, propose only the pairs of its first member with the
-   others; verify; join into components. Groups of near copies, however large,
+   others, and of these a member's FIRST best; verify; join into components. Groups of near copies, however large,
    collapse here in a number of pairs that is linear in the index.
 4. In each list, propose the pairs whose members are still in different
-   components, and verify them. A pair that is left out lies within one
+   components. First verify each outsider's FIRST best with a component, join
+   again, then verify all that is left. A pair that is left out lies within one
    component already, so no link can be missed that would join two.
 """
 
@@ -31,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordlattice.llm.common import components, look_up, only_ids, stored
+from wordlattice.llm.common import components, look_up, only_ids, slices, stored
 
 SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 20
 MOST_MATCHES = 8
+#: First members that a text is compared with in step 3; step 4 finds whatever that leaves.
+FIRST = 3
 #: Cost of verifying a candidate, in index rows.
 VERIFY = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +104,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 pending.clear()
                 waiting = 0
 
-        for batch in batches:
+        for batch in slices(batches):
             counts, digests = [], []
             for text in batch.column(1).to_pylist():
                 h = hashes(text)
@@ -131,7 +135,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
     def run(batches):
         counts, floor = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, out = batch.column(0).to_pylist(), [[], [], [], [], []]
             for key, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                 h = hashes(text)
@@ -157,7 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         last, first = None, set()
-        for batch in batches:
+        for batch in slices(batches):
             a, b, text_b, text_a = (c.to_pylist() for c in batch.columns)
             keep = []
             for i in range(len(a)):
@@ -172,10 +176,47 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_b", "text_a").mapInArrow(run, "a long, b long")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) from rows with (a, b, shared from a, b's n and l): enough shared shingles, sizes that fit."""
-    fits = rows.where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
-    return fits.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l_a").alias("l_a"), F.first("l_b").alias("l_b")).where(F.col("shared") >= F.least("l_a", "l_b")).select("a", "b")
+def _packed(n, place, least):
+    """A prefix shingle's set size, place and the set's l in one long."""
+    return F.shiftleft(n, 34) + F.shiftleft(place.cast("long"), 4) + least
+
+
+def _candidates(rows: DataFrame, *others: str) -> DataFrame:
+    """(a, b, shared, others) from rows (a, b, x, y), one for each shared prefix shingle; x and y are packed,
+    in either order.
+
+    A pair that links needs 75 / 175 of both sizes in common. Of its first l
+    shared shingles, none comes so late in either set that fewer are left than
+    that, less the l - 1 that may have come before.
+    """
+    n = lambda c: F.shiftright(c, 34)
+    left = lambda c: n(c) - F.shiftright(c, 4).bitwiseAND((1 << 30) - 1)
+    least = F.least(F.col("x").bitwiseAND(15), F.col("y").bitwiseAND(15))
+    total = PERCENT * (n("x") + n("y"))
+    fits = (100 * F.least(n("x"), n("y")) >= PERCENT * F.greatest(n("x"), n("y"))) & ((100 + PERCENT) * (F.least(left("x"), left("y")) + least - 1) >= total)
+    return rows.where(fits).groupBy("a", "b", *others).agg(F.count("*").alias("shared"), F.first(least).alias("least")).where("shared >= least").select("a", "b", "shared", *others)
+
+
+def _crossing(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, shared, far, apart): candidates whose members are in different components, far being one and apart the other's member.
+
+    In a list, only members outside of its first member's component are paired,
+    each with all members of other components.
+    """
+    by_token = Window.partitionBy("token").orderBy(F.xxhash64("rep"), "rep")
+    so_far = by_token.rowsBetween(Window.unboundedPreceding, 0)
+    member = listed.select("token", "rep", "x").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    stray = member.withColumn("stray", F.col("component") != F.first("component").over(so_far))
+    apart = stored(stray.withColumn("open", F.max("stray").over(Window.partitionBy("token"))).where("open").drop("open"))
+    one = apart.where("stray").select("token", F.col("rep").alias("a"), "x", F.col("component").alias("c"))
+    two = apart.select("token", F.col("rep").alias("b"), F.col("x").alias("y"), F.col("component").alias("d"), "stray")
+    cross = one.join(two, "token").where("c <> d and (not stray or a < b)")
+    # a pair may meet either way round, as its members can stray in different lists
+    near = F.col("a") < F.col("b")
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y", F.when(near, F.col("c")).otherwise(F.col("d")).alias("c"), F.when(near, F.col("d")).otherwise(F.col("c")).alias("d"))
+    both = _candidates(cross, "c", "d")
+    small = F.col("c") < F.col("d")  # the smaller component's id, a group's most often, counts as far
+    return both.select("a", "b", "shared", F.when(small, F.col("c")).otherwise(F.col("d")).alias("far"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("apart"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,28 +233,28 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     rows = sets.where("sketch is null").select("id", "n", "sig")
     classes = stored(_prefixes(docs, _frequencies(sets)))
 
-    index = classes.select(F.explode("tokens").alias("token"), "rep", "n", "l")
+    index = classes.select("rep", "n", "l", F.posexplode("tokens").alias("place", "token")).select("token", "rep", _packed(F.col("n"), F.col("place"), F.col("l")).alias("x"))
     by_token = Window.partitionBy("token").orderBy(F.xxhash64("rep"), "rep")
-    first = F.first(F.struct("rep", "n", "l")).over(by_token.rowsBetween(Window.unboundedPreceding, 0))
-    listed = index.withColumn("first", first).withColumn("next", F.lead("rep").over(by_token))
+    so_far = by_token.rowsBetween(Window.unboundedPreceding, 0)
+    listed = index.withColumn("first", F.first(F.struct("rep", "x")).over(so_far)).withColumn("next", F.lead("rep").over(by_token))
     # lists of one member propose nothing
-    listed = stored(listed.where("first.rep <> rep or next is not null").select("token", "rep", "n", "l", F.col("first.rep").alias("a"), F.col("first.n").alias("n_a"), F.col("first.l").alias("l_a")))
-
-    star = listed.where("a <> rep").withColumnsRenamed({"rep": "b", "n": "n_b", "l": "l_b"})
-    known = stored(components(_verified(stored(_candidates(star)), docs)))
-
-    member = listed.select("token", "rep", "n", "l").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    first = F.first("component").over(by_token.rowsBetween(Window.unboundedPreceding, 0))
-    stray = member.withColumn("strays", F.col("component") != first)
-    whole = Window.partitionBy("token")
-    apart = stored(stray.withColumn("open", F.max("strays").over(whole)).where("open").drop("open"))
-    x = apart.where("strays").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("component").alias("c"))
-    y = apart.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("component").alias("d"), "strays")
-    cross = x.join(y, "token").where("c <> d and (not strays or a < b) and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-    more = stored(_verified(stored(_candidates(cross)), docs))
-
-    part = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = part if more.isEmpty() else components(part.union(more)).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    listed = stored(listed.where("first.rep <> rep or next is not null").select("token", "rep", "x", F.col("first.rep").alias("a"), F.col("first.x").alias("first_x")))
+
+    star = _candidates(listed.where("a <> rep").select("a", F.col("rep").alias("b"), F.col("first_x").alias("x"), F.col("x").alias("y")))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
+    star = star.withColumn("best", best).where(F.col("best") <= FIRST).select("a", "b")
+    known = stored(components(_verified(stored(star), docs)))
+
+    for best_only in (True, False):
+        cross = _crossing(listed, known)
+        if best_only:  # a text that lies apart mostly links with what it shares most with
+            best = F.row_number().over(Window.partitionBy("apart", "far").orderBy(F.desc("shared"), "a", "b"))
+            cross = cross.withColumn("best", best).where(F.col("best") <= FIRST)
+        more = stored(_verified(stored(cross.select("a", "b").distinct()), docs))
+        if not more.isEmpty():
+            known = stored(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+
+    final = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     counted = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
     found = counted.join(final.withColumnRenamed("a", "rep"), "rep", "left").withColumn("component_id", F.coalesce("b", "rep"))
     # a class of one row that links with nothing needs no look-up
