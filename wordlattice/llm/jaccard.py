@@ -154,7 +154,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The stored ``pairs`` (a, b) whose texts link; each text travels to its pairs once."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = only_ids(docs, ids, "id").groupBy("id").agg(F.min("text").alias("text"))
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -197,17 +197,21 @@ def _candidates(rows: DataFrame, *others: str) -> DataFrame:
     return rows.where(fits).groupBy("a", "b", *others).agg(F.count("*").alias("shared"), F.first(least).alias("least")).where("shared >= least").select("a", "b", "shared", *others)
 
 
-def _crossing(listed: DataFrame, known: DataFrame) -> DataFrame:
+def _apart(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """(token, rep, x, component, stray) of lists that hold members outside of their first member's component."""
+    by_token = Window.partitionBy("token").orderBy(F.xxhash64("rep"), "rep")
+    so_far = by_token.rowsBetween(Window.unboundedPreceding, 0)
+    member = listed.select("token", "rep", "x").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    stray = member.withColumn("stray", F.col("component") != F.first("component").over(so_far))
+    return stored(stray.withColumn("open", F.max("stray").over(Window.partitionBy("token"))).where("open").drop("open"))
+
+
+def _crossing(apart: DataFrame) -> DataFrame:
     """(a, b, shared, far, apart): candidates whose members are in different components, far being one and apart the other's member.
 
     In a list, only members outside of its first member's component are paired,
     each with all members of other components.
     """
-    by_token = Window.partitionBy("token").orderBy(F.xxhash64("rep"), "rep")
-    so_far = by_token.rowsBetween(Window.unboundedPreceding, 0)
-    member = listed.select("token", "rep", "x").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    stray = member.withColumn("stray", F.col("component") != F.first("component").over(so_far))
-    apart = stored(stray.withColumn("open", F.max("stray").over(Window.partitionBy("token"))).where("open").drop("open"))
     one = apart.where("stray").select("token", F.col("rep").alias("a"), "x", F.col("component").alias("c"))
     two = apart.select("token", F.col("rep").alias("b"), F.col("x").alias("y"), F.col("component").alias("d"), "stray")
     cross = one.join(two, "token").where("c <> d and (not stray or a < b)")
@@ -246,7 +250,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     known = stored(components(_verified(stored(star), docs)))
 
     for best_only in (True, False):
-        cross = _crossing(listed, known)
+        # components only grow, so a list without outsiders stays without
+        listed = _apart(listed, known)
+        cross = _crossing(listed)
         if best_only:  # a text that lies apart mostly links with what it shares most with
             best = F.row_number().over(Window.partitionBy("apart", "far").orderBy(F.desc("shared"), "a", "b"))
             cross = cross.withColumn("best", best).where(F.col("best") <= FIRST)
