@@ -23,6 +23,7 @@ import io
 import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -43,8 +44,8 @@ FRAME_IDS = 1 << 16
 #: Text in a file, about.
 FILE_BYTES = 32 << 20
 LEVEL = 3
-#: Distinct stretches between blanks that a worker remembers; cleared when full.
-MEMO = 200_000
+#: Distinct stretches between blanks in a generation of a worker's memory; it keeps two.
+MEMO = 250_000
 
 _SEEKABLE = b"\xb1\xea\x92\x8f"
 _SKIP4 = struct.pack("<II", 0x184D2A50, 4)
@@ -65,22 +66,36 @@ class WordBPE:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        # two generations: when the young one is full it becomes the old one, from which what is met again comes back
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, parts: set[str]) -> None:
+        """Brings ``parts``, none of which is there, into the young generation."""
+        young, missing = self.young, []
+        for part in parts:
+            if (ids := self.old.get(part)) is None:
+                missing.append(part)
+            else:
+                young[part] = ids
+        for part, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False) if missing else [], strict=True):
+            young[part] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
         """Ids of each text with ``end`` appended, as little-endian uint32."""
-        out = []
+        out, last = [], struct.pack("<I", end)
         for text in texts:
-            parts = (text or "").replace("\n", " ").split(" ")
-            memo = self.memo
-            missing = [p for p in set(parts) if p not in memo]
-            if missing:
-                if len(memo) + len(missing) > MEMO:
-                    memo.clear()
-                    missing = list(set(parts))
-                for part, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                    memo[part] = np.array(e.ids, "<u4").tobytes()
-            out.append(np.frombuffer(b"".join(map(memo.__getitem__, parts)) + struct.pack("<I", end), "<u4"))
+            text = text or ""
+            if text.isascii():  # the normaliser would do so; here it makes fewer stretches
+                text = text.lower()
+            parts = text.replace("\n", " ").split(" ")
+            if len(self.young) > MEMO:
+                self.old, self.young = self.young, {}
+            ids = list(map(self.young.get, parts))
+            if None in ids:
+                self._learn({p for p, i in zip(parts, ids, strict=True) if i is None})
+                ids = map(self.young.__getitem__, parts)
+            out.append(np.frombuffer(b"".join(ids) + last, "<u4"))
         return out
 
 
