@@ -47,6 +47,7 @@ LEVEL = 3
 #: Distinct stretches between blanks in a generation of a worker's memory; it keeps two.
 MEMO = 250_000
 
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _SEEKABLE = b"\xb1\xea\x92\x8f"
 _SKIP4 = struct.pack("<II", 0x184D2A50, 4)
 _DOCUMENTS = 0x184D2A51
@@ -67,19 +68,35 @@ class WordBPE:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         # two generations: when the young one is full it becomes the old one, from which what is met again comes back
+        self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _learn(self, parts: set[str]) -> None:
-        """Brings ``parts``, none of which is there, into the young generation."""
-        young, missing = self.young, []
+        """Brings ``parts``, none of which is there, into the young generation.
+
+        A full stop or comma after a letter or digit is a token of its own, so a
+        stretch that ends in one is put together from the rest and the mark.
+        """
+        young, missing, marked = self.young, set(), []
         for part in parts:
-            if (ids := self.old.get(part)) is None:
-                missing.append(part)
-            else:
+            if (ids := self.old.get(part)) is not None:
                 young[part] = ids
-        for part, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False) if missing else [], strict=True):
+            elif part[-1:] in self.marks and part[-2:-1] in _PLAIN:
+                marked.append(part)
+            else:
+                missing.add(part)
+        for part in marked:
+            if (rest := part[:-1]) not in young:
+                if (ids := self.old.get(rest)) is not None:
+                    young[rest] = ids
+                else:
+                    missing.add(rest)
+        fresh = list(missing)
+        for part, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False) if fresh else [], strict=True):
             young[part] = array("I", e.ids).tobytes()
+        for part in marked:
+            young[part] = young[part[:-1]] + self.marks[part[-1]]
 
     def encode(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
         """Ids of each text with ``end`` appended, as little-endian uint32."""
