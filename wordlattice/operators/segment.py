@@ -2,8 +2,10 @@
 
 A line needs nothing but its own text and the lexicon, so the whole operator is
 one projection: no shuffle, any partitioning, batch or stream alike. Its kernel
-is an Arrow function with the lexicon broadcast; a lexicon too large for that
-goes the relational way of ``native.segment_runs``.
+is an Arrow function with the lexicon broadcast. With a lexicon too large for
+that, ``segment`` takes the paths of ``native.segment_runs``, which shuffles, and
+builds the same tokens from them; this needs a whole DataFrame, so streams, the
+SQL function and ``Segmenter`` are bound to BROADCAST_ENTRIES.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordlattice.functions import charsets as cs
+from wordlattice.functions import columns as fn
 from wordlattice.functions import kernels
-from wordlattice.operators.decode import ALGORITHMS, Decoder
+from wordlattice.operators import native
+from wordlattice.operators.decode import ALGORITHMS, Decoder, Piece
 from wordlattice.sources.lexicon import Lexicon
 
 #: Entries of a lexicon that is broadcast, at most (some hundred bytes each on an executor).
@@ -44,15 +48,18 @@ class Options:
             raise ValueError(f"unknown algorithm {self.algorithm!r}")
 
 
-def tokens_of(text: str, decoder: Decoder | None, options: Options = Options()) -> list[tuple[int, int, str, int | None]]:
-    """(start, end, type, entry) of a text's tokens; without a decoder Khmer runs stay whole."""
+def tokens_of(text: str, decoder: Decoder | None, options: Options = Options(), paths: dict[str, list[Piece]] | None = None) -> list[tuple[int, int, str, int | None]]:
+    """(start, end, type, entry) of a text's tokens, by a decoder or the paths of its Khmer runs; without either these stay whole."""
     out: list[list] = []
     place = 0
     for token, kind in kernels.pretokenize(text):
-        if kind == "khmer" and decoder is not None:
+        if kind == "khmer" and (decoder is not None or paths is not None):
             clusters = kernels.clusters(token)
-            looked_up = list(map(kernels.normalize_cluster, clusters)) if options.normalize else clusters
-            for a, b, entry in decoder.pieces(looked_up):
+            if paths is not None:
+                pieces = paths[token]
+            else:
+                pieces = decoder.pieces(list(map(kernels.normalize_cluster, clusters)) if options.normalize else clusters)
+            for a, b, entry in pieces:
                 size = sum(map(len, clusters[a:b]))
                 kind = "unknown" if entry is None else "word"
                 last = out[-1] if out else None
@@ -71,14 +78,14 @@ def tokens_of(text: str, decoder: Decoder | None, options: Options = Options())
     return out
 
 
-def _batch(texts: list[str | None], decoder: Decoder | None, options: Options) -> pa.Array:
-    """Tokens of a batch, built column by column."""
+def _batch(texts: list[str | None], decoder: Decoder | None, options: Options, paths: list[dict] | None = None) -> pa.Array:
+    """Tokens of a batch, built column by column; ``paths`` has those of each text's runs."""
     offsets, words, types, entries = [0], [], [], []
     starts, ends, byte_starts, byte_ends, missing = [], [], [], [], []
-    for text in texts:
+    for i, text in enumerate(texts):
         if text is not None:
             byte = 0
-            for start, end, kind, entry in tokens_of(text, decoder, options):
+            for start, end, kind, entry in tokens_of(text, decoder, options, paths[i] if paths is not None else None):
                 word = text[start:end]
                 size = len(word) if word.isascii() else len(word.encode())
                 words.append(word)
@@ -96,16 +103,23 @@ def _batch(texts: list[str | None], decoder: Decoder | None, options: Options) -
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(missing))
 
 
+def fits(lexicon: Lexicon) -> bool:
+    """Is a lexicon small enough to be broadcast?"""
+    return lexicon.entries.count() <= BROADCAST_ENTRIES
+
+
+def _unknown_cost(lexicon: Lexicon, options: Options) -> float:
+    return lexicon.meta.unknown_cost if options.unknown_cost is None else options.unknown_cost
+
+
 def decoder_of(spark: SparkSession, lexicon: Lexicon | None, options: Options):
     """A broadcast Decoder, or None without a lexicon."""
     if lexicon is None:
         return None
-    size = lexicon.entries.count()
-    if size > BROADCAST_ENTRIES:
-        raise ValueError(f"{size} entries are too many to broadcast; use native.segment_runs")
+    if not fits(lexicon):
+        raise ValueError(f"more than {BROADCAST_ENTRIES} entries are too many to broadcast; use segment() on a batch DataFrame")
     words = {r.word: (r.entry, r.cost) for r in lexicon.entries.select("word", "entry", "cost").toLocalIterator()}
-    cost = lexicon.meta.unknown_cost if options.unknown_cost is None else options.unknown_cost
-    return spark.sparkContext.broadcast(Decoder.of(words, cost, options.algorithm))
+    return spark.sparkContext.broadcast(Decoder.of(words, _unknown_cost(lexicon, options), options.algorithm))
 
 
 def tokenizer(spark: SparkSession, lexicon: Lexicon | None = None, options: Options = Options()):
@@ -119,8 +133,32 @@ def tokenizer(spark: SparkSession, lexicon: Lexicon | None = None, options: Opti
     return tokens
 
 
+def _joined(df: DataFrame, lexicon: Lexicon, options: Options, text_col: str, out_col: str) -> DataFrame:
+    """segment() by lattice joins: the lexicon is never held in one place.
+
+    Texts and runs are keyed by their SHA-256, so that exploded rows don't drag
+    them along, and a run that many texts share is searched once.
+    """
+    text = F.col(text_col)
+    parts = native.runs(df, text_col, options.normalize).select(F.sha2("run", 256).alias("__run"), "parts")
+    paths = native.segment_runs(parts, lexicon.entries, lexicon.meta.max_clusters, _unknown_cost(lexicon, options), options.algorithm, "__run")
+    khmer = F.transform(F.filter(fn.pretokenize(text), lambda t: t["type"] == "khmer"), lambda t: t["text"])
+    places = df.select(F.sha2(text, 256).alias("__key"), F.explode(khmer).alias("run")).distinct().withColumn("__run", F.sha2("run", 256))
+    found = places.join(paths, "__run").groupBy("__key").agg(F.collect_list(F.struct("run", "path")).alias("__paths"))  # one text's runs
+
+    @F.arrow_udf(T.ArrayType(TOKEN))
+    def tokens(texts: pa.Array, known: pa.Array) -> pa.Array:
+        by_run = [{r["run"]: [(p["from"], p["to"], p["entry"]) for p in r["path"]] for r in row or ()} for row in known.to_pylist()]
+        return _batch(texts.to_pylist(), None, options, by_run)
+
+    rows = df.withColumn("__key", F.sha2(text, 256)).join(found, "__key", "left")
+    return rows.withColumn(out_col, tokens(text, F.col("__paths"))).drop("__key", "__paths")
+
+
 def segment(df: DataFrame, lexicon: Lexicon | None = None, options: Options = Options(), text_col: str = "text", out_col: str = "tokens") -> DataFrame:
-    """``df`` with an array of tokens; null texts give null."""
+    """``df`` with an array of tokens; null texts give null. A lexicon of any size will do unless ``df`` is a stream."""
+    if lexicon is not None and not df.isStreaming and not fits(lexicon):
+        return _joined(df, lexicon, options, text_col, out_col)
     return df.withColumn(out_col, tokenizer(df.sparkSession, lexicon, options)(F.col(text_col)))
 
 
