@@ -135,6 +135,23 @@ def test_token_files(spark, tmp_path, monkeypatch, library, size):
     assert tokenfile.round_trip(df.limit(0)).collect() == []
 
 
+SPECIAL = ["end <|endoftext|> of", "<|startoftext|>a<|endoftext|>", "END <|ENDOFTEXT|> Of <|EndOfText|>.", "é<|endoftext|>É, <|endoftext|>.", "<|endoftext|", "A <|\n|> B", "<|endoftext|>\u0301 x", None, "Plain Text."]
+
+
+def test_special_tokens_by_the_library_default(spark, tmp_path):
+    """op9_token_files encodes as the library does with add_special_tokens=False only."""
+    from wordlattice.llm.queries import op9_token_files
+
+    t = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in SPECIAL]
+    assert want[0] == [806, 49407, 539, 2] and 49407 not in want[2]
+    spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for r, ids in zip(op9_token_files(spark, str(tmp_path)).orderBy("doc_id").collect(), want, strict=True):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+
+
 def file_of(documents):
     rows = list(tokenfile.frames(documents))
     return b"".join(r + tokenfile._SEEKABLE for r in rows)

@@ -51,7 +51,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_token_files(spark, sf_dir):
-    return tokenfile.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return tokenfile.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), special=True)
 
 
 def op10_ngram_jaccard(spark, sf_dir):

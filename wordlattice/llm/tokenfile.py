@@ -60,13 +60,14 @@ class WordBPE:
 
     No token of this vocabulary spans a blank, and neither its normaliser nor its
     pattern looks beyond one, so a text's ids are those of its stretches in order.
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text are ordinary text; with ``special`` they
+    are those tokens, as by the library's default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         # two generations: when the young one is full it becomes the old one, from which what is met again comes back
         self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
         self.young: dict[str, bytes] = {}
@@ -103,7 +104,8 @@ class WordBPE:
         out, last = [], struct.pack("<I", end)
         for text in texts:
             text = text or ""
-            if text.isascii():  # the normaliser would do so; here it makes fewer stretches
+            # the normaliser would do so; here it makes fewer stretches, but could make special tokens
+            if text.isascii() and "<|" not in text:
                 text = text.lower()
             parts = text.replace("\n", " ").split(" ")
             if len(self.young) > MEMO:
@@ -117,9 +119,9 @@ class WordBPE:
 
 
 @lru_cache(1)
-def word_bpe(path: str) -> WordBPE:
+def word_bpe(path: str, special: bool = False) -> WordBPE:
     """One encoder a worker process."""
-    return WordBPE(path)
+    return WordBPE(path, special)
 
 
 def frames(documents):
@@ -202,12 +204,13 @@ class Reader:
         return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> None:
+def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, special: bool = False) -> None:
     """Encodes all texts and writes them to files under ``path`` in ascending id order.
 
     Files follow each other by name, documents within them by id; null ids come
     first and equal ids by their text. A null text is an empty one, which has the
-    end id only. An empty table gives files without documents, or none.
+    end id only. An empty table gives files without documents, or none. See
+    WordBPE for ``special``.
     """
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -218,7 +221,7 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
-        encoder = word_bpe(vocabulary)
+        encoder = word_bpe(vocabulary, special)
 
         def documents():
             for batch in batches:
@@ -264,8 +267,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, "file").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, path: str | None = None) -> DataFrame:
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, path: str | None = None, special: bool = False) -> DataFrame:
     """Writes the files and reads them back; see write() and read()."""
     path = path or shared_dir(df.sparkSession)
-    write(df, path, id_col, text_col, vocabulary)
+    write(df, path, id_col, text_col, vocabulary, special)
     return read(df.sparkSession, path)
