@@ -120,6 +120,18 @@ def test_pii_added_kinds():
     assert email("contact me: a@b.de") > email("xx yy: a@b.de") > email("sample: a@b.de")
 
 
+def test_pii_ibans_before_other_words():
+    found = lambda t: [t[s:e] for k, s, e, _ in pii.find(t) if k == "iban"]
+    plain, blanks = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for text in ("IBAN {} BIC X", "bank {} BIC COBADEFFXXX", "{} 2026 12", "{} A", "REF AB12 CDEF GHIJ KLMN {} BIC", "{}", "({})", "NO 12 {} X1 Y2"):
+        assert found(text.format(plain)) == [plain] and found(text.format(blanks)) == [blanks], text
+    assert found(f"{blanks} {plain} GB82 WEST 1234 5698 7654 32 OK") == [blanks, plain, "GB82 WEST 1234 5698 7654 32"]
+    assert found("DE89370400440532013001 BIC X") == [] and found(plain + "x") == []
+    text = f"IBAN {blanks} BIC X"
+    assert pii.mask(text, pii.find(text)) == "IBAN [IBAN] BIC X"
+    assert found("AB12 " * 5000) == []
+
+
 def test_pii_report_and_mask(spark, odd):
     text = "write a@b.de or +1 (415) 555-0100, card 4111 1111 1111 1111 at 10.0.0.1"
     df = spark.createDataFrame([(1, text, "en"), (2, None, None), (3, "", "en"), (4, "clean text 12", "en")], "doc_id long, text string, n_card string")
@@ -297,5 +309,3 @@ def test_odd_rows_everywhere(odd):
     model = toxicity.fit([], [])
     for out in (toxicity.predict(odd, model), quality.predict(odd, quality.fit(np.zeros((0, 19)), np.zeros(0))), langid.predict(odd, {})):
         assert out.count() == len(ROWS)
-
-

@@ -41,6 +41,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of a country's IBAN.
+_IBAN_SIZE = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,6 +85,26 @@ def emails(text: str):
         at = text.find("@", at + 1)
 
 
+def ibans(text: str):
+    """Non-overlapping IBANs; a pattern's match may run on into what follows, so every word end in it is tried.
+
+    The end at the country's length goes first, then the longest. Where none
+    passes, the search goes on with the next word.
+    """
+    m = _IBAN.search(text)
+    while m:
+        start, at = m.start(), m.start() + 1
+        ends = [e for e in range(start + 4, m.end()) if text[e] == " "] + [m.end()]
+        sized = [(e, text[start:e].replace(" ", "")) for e in reversed(ends)]
+        sized.sort(key=lambda x: len(x[1]) != _IBAN_SIZE.get(x[1][:2]))
+        for end, iban in sized:
+            if len(iban) >= 15 and mod97(iban):
+                yield start, end
+                at = end
+                break
+        m = _IBAN.search(text, at)
+
+
 def _parts_fit(ip: str) -> bool:
     return all(int(p.lstrip("0") or "0") <= 255 if len(p.lstrip("0")) <= 3 else False for p in ip.split("."))
 
@@ -93,9 +120,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
             spans.append(("card", m.start(), m.end(), _score(text, "card", m.start(), m.end(), 0.9)))
     if "+" in text:
         spans += [("phone", m.start(), m.end(), _score(text, "phone", m.start(), m.end(), 0.7)) for m in _PHONE.finditer(text) if 8 <= len(_digits(m.group())) <= 15]
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")) and (p := _score(text, "iban", m.start(), m.end(), 0.8)) >= KEPT:
-            spans.append(("iban", m.start(), m.end(), p))
+    spans += [("iban", s, e, p) for s, e in ibans(text) if (p := _score(text, "iban", s, e, 0.8)) >= KEPT]
     for m in _SSN.finditer(text):
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" and (p := _score(text, "ssn", m.start(), m.end(), 0.3)) >= KEPT:
