@@ -309,3 +309,15 @@ def test_odd_rows_everywhere(odd):
     model = toxicity.fit([], [])
     for out in (toxicity.predict(odd, model), quality.predict(odd, quality.fit(np.zeros((0, 19)), np.zeros(0))), langid.predict(odd, {})):
         assert out.count() == len(ROWS)
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    """Of a long text every n-gram is learned from, and training in the cluster equals fit()."""
+    filler = "calm words about rivers and hills " * 1500
+    texts = [filler[:30_000 + i] + (f" vilezzword{i % 2} " if i % 2 else " kindly ") + filler[:20_000] for i in range(16)] + [None, ""]
+    labels = [i % 2 for i in range(18)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    model, plain = toxicity.train(docs, marks, F.lit(True)), toxicity.fit(texts, labels)
+    assert model.score("a vilezzword1 here") > 0.5 > model.score("a kindly word here")
+    assert model.bias == pytest.approx(plain.bias) and np.allclose(model.weights, plain.weights)

@@ -3,9 +3,9 @@
 A text's features are the presence of its hashed character n-grams. Each is
 scaled by the log ratio of its smoothed shares among toxic and other texts, and
 a logistic regression is fitted to those whose ratio is clear. The fit uses at most
-SAMPLE labelled texts (those with the smallest hash of their id), and of a very
-long text at most FIT_CHARS characters from evenly spread stretches; scoring
-reads every text in whole.
+SAMPLE labelled texts (those with the smallest hash of their id); these, like
+those to score, are read in whole. Executors count their n-grams and then name
+each text's clear ones, so no text reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordlattice.llm.common import with_columns
+from wordlattice.llm.common import slices, stored, with_columns
 
 SAMPLE = 10_000
-FIT_CHARS = 20_000
 SIZES = (6, 8)
 BITS = 20
 ROUNDS = 100
@@ -58,21 +58,41 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def fit(texts: list[str | None], labels: list[int], sizes=SIZES, bits: int = BITS) -> Model:
-    """Naive Bayes ratios, then logistic regression by accelerated gradient steps.
+def _constant(y: np.ndarray, sizes, bits: int) -> Model | None:
+    """With no rows the score is 0.5 everywhere; with one class only, its smoothed share."""
+    if len(y) and y.min() != y.max():
+        return None
+    share = (y.sum() + 1) / (len(y) + 2)
+    return Model(np.zeros(1 << bits), float(np.log(share / (1 - share))), sizes, bits)
 
-    With no rows the score is 0.5 everywhere; with one class only, its smoothed share.
-    """
+
+def _ratio(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-count ratios of the hashes from the numbers of toxic and other texts that have them; 0 where unclear."""
+    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((n + 1) / (n + 1).sum())
+    ratio[(p + n < LEAST) | (np.abs(ratio) < CLEAR)] = 0
+    return ratio
+
+
+def _clear(text: str | None, clear: np.ndarray, sizes=SIZES, bits: int = BITS) -> np.ndarray:
+    """A text's distinct hashes among the clear ones."""
+    h = hashed(text, sizes, bits)
+    return np.unique(h[clear[h]])
+
+
+def fit(texts: list[str | None], labels: list[int], sizes=SIZES, bits: int = BITS) -> Model:
+    """Naive Bayes ratios, then logistic regression by accelerated gradient steps."""
     y = np.array(labels, np.float64)
-    if not len(y) or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(1 << bits), float(np.log(share / (1 - share))), sizes, bits)
+    if constant := _constant(y, sizes, bits):
+        return constant
     p, n = np.zeros(1 << bits), np.zeros(1 << bits)
     for text, label in zip(texts, labels, strict=True):
         (p if label else n)[hashed(text, sizes, bits)] += 1  # presence: an index counts once
-    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((n + 1) / (n + 1).sum())
-    ratio[(p + n < LEAST) | (np.abs(ratio) < CLEAR)] = 0
-    rows = [np.unique(h[ratio[h] != 0]) for h in (hashed(t, sizes, bits) for t in texts)]
+    ratio = _ratio(p, n)
+    return _regress([_clear(t, ratio != 0, sizes, bits) for t in texts], y, ratio, sizes, bits)
+
+
+def _regress(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, sizes, bits: int) -> Model:
+    """The logistic regression on each text's clear hashes."""
     ids, columns = np.repeat(np.arange(len(y)), [len(r) for r in rows]), np.concatenate(rows)
     scale = ratio[columns]
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -100,15 +120,6 @@ def fit(texts: list[str | None], labels: list[int], sizes=SIZES, bits: int = BIT
     return Model(w * ratio, float(bias), sizes, bits)
 
 
-def _spread(text: str | None) -> str:
-    """A text of up to FIT_CHARS characters; of a longer one, evenly spread stretches."""
-    text = text or ""
-    if len(text) <= FIT_CHARS:
-        return text
-    width = FIT_CHARS // 20
-    return " ".join(text[i : i + width] for i in np.linspace(0, len(text) - width, 20).astype(int).tolist())
-
-
 def sample(documents: DataFrame, labels: DataFrame, label: str, learn, size: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``size`` rows (id, label, and the documents' other columns): labelled ids that pass ``learn``, smallest hash first.
 
@@ -124,10 +135,32 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, learn, size: int
 
 def train(documents: DataFrame, labels: DataFrame, learn, label: str = "toxic", text_col: str = "text", id_col: str = "doc_id", size: int = SAMPLE) -> Model:
     """A model of labelled documents whose id passes the condition ``learn``."""
-    rows = sample(documents.select(id_col, text_col), labels, label, learn, size, id_col)
-    rows = with_columns(rows, [text_col], [T.StructField(text_col, T.StringType())], lambda: lambda texts: [[_spread(t) for t in texts]])
-    found = rows.select(id_col, text_col, "_label").orderBy(id_col).collect()  # at most size * FIT_CHARS characters
-    return fit([r[1] for r in found], [r[2] for r in found])
+    rows = stored(sample(documents.select(id_col, text_col), labels, label, learn, size, id_col).select(id_col, "_label", text_col))
+    y = np.array([r[0] for r in rows.select("_label", id_col).orderBy(id_col).collect()], np.float64)  # at most `size` rows
+    if constant := _constant(y, SIZES, BITS):
+        return constant
+
+    def count(batches):
+        p, n = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        for batch in slices(batches):
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                (p if label else n)[hashed(text.as_py())] += 1  # presence: an index counts once
+        h = np.flatnonzero(p + n)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(p[h].astype(np.int64)), pa.array(n[h].astype(np.int64))], names=["h", "p", "n"])
+
+    counts = rows.select("_label", text_col).mapInArrow(count, "h long, p long, n long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toArrow()  # at most 2^BITS rows
+    p, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    h = counts["h"].to_numpy()
+    p[h], n[h] = counts["p"].to_numpy(), counts["n"].to_numpy()
+    ratio = _ratio(p, n)
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(ratio != 0))
+
+    def factory():
+        clear = np.unpackbits(shared.value).astype(bool)
+        return lambda texts: [[_clear(t, clear).astype(np.int32).tobytes() for t in texts]]
+
+    found = with_columns(rows, [text_col], [T.StructField("_clear", T.BinaryType())], factory).select(id_col, "_clear").orderBy(id_col).collect()  # at most `size` rows of clear hashes
+    return _regress([np.frombuffer(r[1], np.int32).astype(np.int64) for r in found], y, ratio, SIZES, BITS)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
