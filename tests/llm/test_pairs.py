@@ -64,6 +64,48 @@ def test_jaccard_join(spark):
     assert len(set(want.values())) < len(rows) - 50
 
 
+def near_threshold(size=60):
+    """One group of near copies, many of them just below the threshold with each other, and a passage that all share."""
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(3000)]
+    base = rng.sample(words, 150)
+    rows = []
+    for i in range(size):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize(("pair", "part", "chunk"), [(10**6, 1000, 400_000), (10**6, 4, 3_000), (0, 4, 400_000)])
+def test_jaccard_large_group_below_threshold(spark, monkeypatch, pair, part, chunk):
+    """Chunks (pairs are dear), several chunks and split lists, and the join by shingle (pairs are free) agree with brute force."""
+    monkeypatch.setattr(jaccard, "PAIR", pair)
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rows = near_threshold()
+    sets, want = brute(rows)
+    below = sum(1 for a in sets for b in sets if a < b and 60 <= 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 75)
+    assert below > 200
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_chunk_links(block):
+    rows = near_threshold(40)
+    sketch = np.ones(1 << jaccard.SKETCH_BITS)
+    entries = []
+    for i, text in rows:
+        h = jaccard.hashes(text)
+        entries.append((i, i, h, *jaccard.prefix(h, sketch, 0.0)))
+    _, want = brute(rows)
+    got = groups([i for i, _ in rows], jaccard.chunk_links(entries, entries, block))
+    assert got == want
+    assert jaccard.chunk_links([], entries) == jaccard.chunk_links(entries, []) == []
+
+
 def test_jaccard_keeps_one(spark):
     rows = corpus()
     _, want = brute(rows)

@@ -58,12 +58,15 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructFiel
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's name below the one that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, as in
-    local tests, a temporary folder is set for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and all
+    runs on one machine, as in tests, a temporary folder is set for the session;
+    on a cluster that would not be shared, so there it is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="wordlattice-")
         sc.setCheckpointDir(base)
     return f"{base}/wordlattice-{uuid.uuid4().hex}"
@@ -74,7 +77,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` returned, once all that was computed from them is stored as well."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(column: str, modulus: int):
@@ -115,7 +127,7 @@ def look_up(df: DataFrame, found: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes with a link; ``links`` has (a, b), a component is its smallest node.
+    """(node, component) of all nodes with a link, stored; ``links`` has (a, b), a component is its smallest node.
 
     Large-star and small-star rounds: each node's neighbours move to the smallest
     of them until nothing changes. Rounds end in stored tables; two numbers about
@@ -128,12 +140,15 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
-        before = now
+        before, spent = now, edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         edges = stored(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct())
+        release(spent)
     # every u now hangs on its component's smallest node
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    out = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()))
+    release(edges)
+    return out
