@@ -57,11 +57,27 @@ def test_bpe_join_is_associative(codec):
         assert codec.join(codec.join(x, y), z) == codec.join(x, codec.join(y, z)) == (codec.merge(b"".join(parts)) if b"".join(parts) else [])
 
 
-def test_bpe_long_merge_equals_kernel(codec):
+def test_bpe_merges_agree(codec, reference):
+    """Both merges of a window give what the library gives for one match of its pattern (letters only)."""
     rng = random.Random(6)
-    for n in (97, 150, 400):
-        data = "".join(rng.choice("abcde fgh") for _ in range(n)).replace(" ", "a").encode()
-        assert codec._merge_long(data) == codec.kernel(data)
+    for n in (2, 3, 17, 48, 49, 150, 400):
+        text = "".join(rng.choice("abcdefgh") for _ in range(n))
+        if text.encode() not in codec.ranks:
+            assert codec._merge_long(text.encode()) == codec.merge(text.encode()) == reference.encode_ordinary(text)
+
+
+def test_bpe_matches_go_through_joins(spark):
+    """Every match of a whole table that isn't one token is put together by joins; only equal short halves are remembered."""
+    own = bpe.ByteBPE(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    matches = {m.encode() for t in texts for m in own.find(t or "")}
+    for t in texts:
+        own.encode(t or "")
+    joined = [m for m in matches if m not in own.ranks]
+    assert len(joined) > 5_000
+    assert sum(len(m) > bpe.LEAF for m in joined) <= own.joins <= sum(len(m) - 1 for m in joined)
+    # each short subtree is made once, by a join of its halves
+    assert own.leaf.cache_info().misses > 1_000 and all(len(m) > bpe.LEAF or own.leaf(m) == own.encode_match(m) for m in joined)
 
 
 def test_bpe_queries(odd, reference):

@@ -1,9 +1,10 @@
 """Byte-level BPE by a monoid tree reduction.
 
 A text is cut by a pattern and each match is encoded on its own, so matches
-join by concatenation. Inside a long match, halves are encoded recursively and
-joined: the tokens around the seam are encoded again in a window that grows
-until its outer tokens are stable next to their neighbours.
+join by concatenation. Inside a match, halves are encoded recursively, down to
+single bytes, and joined: the tokens around the seam are encoded again in a window
+that grows until its outer tokens are stable next to their neighbours. A match
+that is a token as a whole is that token, as in the library.
 
 Two adjacent tokens are stable when the bytes of both encode to just these two.
 A sequence whose adjacent tokens are all stable is the encoding of its bytes:
@@ -25,19 +26,18 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from wordlattice.llm.common import with_columns
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Matches up to this many bytes are leaves of the tree.
-LEAF = 24
-#: Up to this many bytes the tokenizer library's kernel for one match merges a leaf or a window.
-SHORT = 96
-#: Distinct matches remembered by a worker; the memory is cleared when full.
-MEMO = 120_000
+#: Windows up to this many bytes are merged by plain scans, longer ones with a heap.
+SHORT = 48
+#: Distinct matches in a generation of a worker's memory; it keeps two.
+MEMO = 200_000
+#: Subtrees of at most this many bytes are remembered as well, LEAVES of them.
+LEAF, LEAVES = 8, 200_000
 NEVER = 1 << 62
 
 
@@ -52,17 +52,26 @@ class ByteBPE:
             self.bytes_of[rank] = data
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
         self.find = regex.compile(pattern).findall
-        self.kernel = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
-        self.memo = _Memo(self)
+        # when the young generation is full it becomes the old one, from which what is met again comes back
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.stable = lru_cache(200_000)(self._stable)
+        self.leaf = lru_cache(LEAVES)(self._halves)
+        self.joins = 0
 
     # -- encoding -----------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text, without special tokens."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        matches = self.find(text)
+        found = list(map(self.young.get, matches))
+        if None in found:
+            for match in {m for m, ids in zip(matches, found, strict=True) if ids is None}:
+                self.young[match] = self.old.get(match) or tuple(self.encode_match(match.encode()))
+            found = map(self.young.__getitem__, matches)
+        return list(chain.from_iterable(found))
 
     def encode_match(self, data: bytes) -> list[int]:
         """Token ids of one match of the pattern."""
@@ -70,8 +79,12 @@ class ByteBPE:
         return self.tree(data) if whole is None else [whole]
 
     def tree(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.merge(data)
+        """The encoding of some bytes: that of either half, joined; a single byte is its own token."""
+        return self.leaf(data) if len(data) <= LEAF else self._halves(data)
+
+    def _halves(self, data: bytes) -> list[int]:
+        if len(data) == 1:
+            return [self.ranks[data]]
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
@@ -79,6 +92,7 @@ class ByteBPE:
         """The encoding of the bytes of two encodings; associative, [] is its unit."""
         if not left or not right:
             return left or right
+        self.joins += 1
         width = 2
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
@@ -94,7 +108,18 @@ class ByteBPE:
         """Merges by rank, the leftmost of equal ranks first."""
         if len(data) > SHORT:
             return self._merge_long(data)
-        return self.kernel(data)
+        get = self.ranks.get
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) < NEVER:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+        return [self.ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same for windows that grew large, with a heap over linked spans, in O(n log n)."""
@@ -125,20 +150,11 @@ class ByteBPE:
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of token ids, concatenated up the tree."""
-        if len(ids) <= 4096:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
-
-
-class _Memo(dict):
-    def __init__(self, codec: ByteBPE):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        ids = self[match] = tuple(self.codec.encode_match(match.encode()))
-        return ids
+        level = [self.bytes_of[i] for i in ids]
+        while len(level) > 1:
+            odd = level[-1:] if len(level) & 1 else []
+            level = [a + b for a, b in zip(level[::2], level[1::2], strict=False)] + odd
+        return level[0] if level else b""
 
 
 @lru_cache(2)
