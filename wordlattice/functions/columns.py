@@ -6,12 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wordlattice.functions import charsets as cs
+from wordlattice.functions import kernels
 
 _BASE = cs.klass(*cs.BASES)
 _SUB = cs.klass("cons", "indv")
 _UNIT = f"(?s){cs.COENG}[{_SUB}]|."
 
 
+_NOT_RO = f"(?!{kernels.RO})[{_SUB}]"
+#: A cluster that is canonical as it stands: one code point, or marks by slot without repetition.
+_CANONICAL = (
+    f"(?s)^(?:.|[{_BASE}][{cs.klass('robat')}]?(?:{cs.COENG}{_NOT_RO})*(?:{cs.COENG}{kernels.RO})*"
+    f"[{cs.klass('shifter')}]?[{cs.klass('joiner')}]?[{cs.klass('depv')}]?[{cs.klass('sign', 'diac')}]?)\\z"
+)
+_KIND_POINTS = [(chr(p), str(i)) for i, k in enumerate(cs.TYPE_OF_KIND) for a, b in cs.KINDS[k] for p in range(a, b + 1)]
+
+
+def unused(df, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
@@ -164,11 +182,11 @@ def normalize_cluster(x: Column) -> Column:
 
 
 def normalized_clusters(c: Column) -> Column:
-    return F.transform(clusters(c), normalize_cluster)
+    return F.transform(clusters(c), lambda x: F.when(x.rlike(_CANONICAL), x).otherwise(normalize_cluster(x)))
 
 
 def normalize(c: Column) -> Column:
-    """normalize_cluster() over all clusters; texts without two marks in a row pass by."""
+    """normalize_cluster() over all clusters that need it; texts without two marks in a row pass by."""
     marks = cs.klass(*cs.MARKS, "joiner")
     return F.when(c.rlike(f"[{marks}][{marks}{_SUB}]|[{cs.klass('inherent')}]"), F.array_join(normalized_clusters(c), "")).otherwise(c)
 
@@ -177,11 +195,15 @@ def normalize(c: Column) -> Column:
 
 
 def token_type(token: Column) -> Column:
-    """Type of a coarse token by its first code point."""
+    """Type of a coarse token by its first code point.
+
+    One look-up: the code point is translated to its kind's number, which is a
+    digit and so a code point that is translated itself.
+    """
+    number = F.translate(F.substring(token, 1, 1), "".join(c for c, _ in _KIND_POINTS), "".join(i for _, i in _KIND_POINTS))
     out = None
-    for kind, name in cs.TYPE_OF_KIND.items():
-        hit = _in(token, cs.kind(kind))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+    for i, name in enumerate(cs.TYPE_OF_KIND.values()):
+        out = F.when(number == str(i), name) if out is None else out.when(number == str(i), name)
     return out.otherwise("other")
 
 

@@ -13,7 +13,7 @@ _BASE = re.compile(f"[{cs.klass(*cs.BASES, style='python')}]")
 _MARK = re.compile(f"[{cs.klass(*cs.MARKS, style='python')}]")
 _UNIT = re.compile(f"(?s){cs.COENG}[{cs.klass('cons', 'indv', style='python')}]|.")
 _STOP = re.compile(f"{cs.COENG}(?![{cs.klass('cons', 'indv', style='python')}])")
-_RO = "រ"
+RO = "រ"
 #: Place of a single mark within a cluster; a COENG pair has 2, all others 6.
 SLOTS = {"robat": 1, "shifter": 3, "joiner": 4, "depv": 5}
 _SLOT = {chr(p): s for c, s in SLOTS.items() for a, b in cs.CLASSES[c] for p in range(a, b + 1)}
@@ -37,7 +37,7 @@ def normalize_cluster(cluster: str) -> str:
     if len(cluster) < 2 or not _BASE.match(cluster) or _STOP.search(cluster):
         return cluster
     units = [u for u in _UNIT.findall(cluster[1:]) if _CLASS.get(u) != "inherent"]
-    units.sort(key=lambda u: (2, u[1] == _RO) if len(u) == 2 else (_SLOT.get(u, 6), False))
+    units.sort(key=lambda u: (2, u[1] == RO) if len(u) == 2 else (_SLOT.get(u, 6), False))
     out, last = [cluster[0]], None
     for u in units:
         if len(u) == 2 or u != last:

@@ -70,25 +70,25 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
 
 def gold_sql(alphabet: str = CLEAN) -> str:
     return f"""
-sentences AS (SELECT doc_id, unnest(range(len(parts)))::INT AS sent, unnest(parts) AS s
+sentences AS MATERIALIZED (SELECT doc_id, unnest(range(len(parts)))::INT AS sent, unnest(parts) AS s
   FROM (SELECT doc_id, string_split_regex(text, '[.\\n]') AS parts FROM documents)),
-gold AS (SELECT * FROM (SELECT doc_id, sent, list_filter(string_split(regexp_replace(translate(s, '{LATIN}', '{alphabet}'), '[^\\x{{1780}}-\\x{{17DD}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM sentences) WHERE len(words) > 0),
-raw AS (SELECT doc_id, sent, array_to_string(words, '') AS text FROM gold)"""
+gold AS MATERIALIZED (SELECT * FROM (SELECT doc_id, sent, list_filter(string_split(regexp_replace(translate(s, '{LATIN}', '{alphabet}'), '[^\\x{{1780}}-\\x{{17DD}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM sentences) WHERE len(words) > 0),
+raw AS MATERIALIZED (SELECT doc_id, sent, array_to_string(words, '') AS text FROM gold)"""
 
 
 def bucket_sql(text: str, buckets: int) -> str:
-    digits = f"list_transform(range(1, 41), lambda i: (instr('0123456789abcdef', substr(sha1({text}), i::INT, 1)) - 1)::BIGINT)"
-    return f"list_reduce({digits}, lambda a, d: (a * 16 + d) % {buckets})"
+    digits = f"list_transform(regexp_extract_all(sha1({text}), '[0-9a-f]{{5}}'), lambda d: ('0x' || d)::BIGINT)"
+    return f"list_reduce({digits}, lambda a, d: (a * 1048576 + d) % {buckets}, 0::BIGINT)"
 
 
 def lexicon_sql(alpha: float = ALPHA) -> str:
     """After gold_sql(): training words with costs."""
     return f"""
 split AS (SELECT *, array_to_string(words, ' ') AS line FROM gold),
-train AS (SELECT * FROM split WHERE {bucket_sql("line", 100)} >= 10),
-counts AS (SELECT word, count(*)::DOUBLE AS count FROM (SELECT unnest(words) AS word FROM train) GROUP BY word),
+train AS MATERIALIZED (SELECT * FROM split WHERE {bucket_sql("line", 100)} >= 10),
+counts AS MATERIALIZED (SELECT word, count(*)::DOUBLE AS count FROM (SELECT unnest(words) AS word FROM train) GROUP BY word),
 totals AS (SELECT sum(count) AS total, count(*) AS size FROM counts),
-lexicon AS (SELECT word, count, -ln((count + {alpha}) / (total + {alpha} * size)) AS cost FROM counts, totals)"""
+lexicon AS MATERIALIZED (SELECT word, count, -ln((count + {alpha}) / (total + {alpha} * size)) AS cost FROM counts, totals)"""
 
 
 #: After lexicon_sql(): every span of a raw line that is a word; a letter is a cluster there.
