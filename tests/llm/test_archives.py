@@ -4,6 +4,7 @@ import glob
 import gzip
 import hashlib
 import io
+import json
 import struct
 import zlib
 
@@ -108,6 +109,26 @@ def test_word_bpe_equals_library(library):
     assert [g.tolist() for g in got] == [library(t) for t in texts]
 
 
+def test_words_that_are_joined_for_the_library(library, tmp_path):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCÀÉßþÿªºµ")
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(3 * tokenfile.JOINED + 7)]
+    texts = [" ".join(words), "a\u0301b cd " + words[3], "s t re", "it's " + words[5] + "'s"]
+    path = public_tokenizers.path(tokenfile.VOCABULARY)
+    own = tokenfile.WordBPE(path)
+    assert own.by_stretch
+    assert [g.tolist() for g in own.encode(texts)] == [library(t) for t in texts]
+    with open(path, encoding="utf-8") as f:
+        other = json.load(f)
+    other["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(other), encoding="utf-8")
+    plain = Tokenizer.from_file(str(tmp_path / "other.json"))
+    plain.encode_special_tokens = True
+    own = tokenfile.WordBPE(str(tmp_path / "other.json"))
+    assert not own.by_stretch
+    assert [g.tolist() for g in own.encode([*texts, None])] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, ""]]
+
+
 @pytest.mark.parametrize("size", [tokenfile.FILE_BYTES, 3000])
 def test_token_files(spark, tmp_path, monkeypatch, library, size):
     monkeypatch.setattr(tokenfile, "FILE_BYTES", size)

@@ -20,6 +20,7 @@ ends right after its seek table and any zstandard reader can read it.
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
 import zlib
@@ -44,9 +45,14 @@ FRAME_IDS = 1 << 16
 #: Text in a file, about.
 FILE_BYTES = 32 << 20
 LEVEL = 3
+#: Words given to the library as one text.
+JOINED = 500
 #: Distinct stretches between blanks in a generation of a worker's memory; it keeps two.
 MEMO = 250_000
 
+# fixed values: the steps of the vocabulary for which texts may be encoded by stretches
+_NORMALISER = '{"type":"Sequence","normalizers":[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}]}'
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _SEEKABLE = b"\xb1\xea\x92\x8f"
 _SKIP4 = struct.pack("<II", 0x184D2A50, 4)
@@ -61,7 +67,8 @@ class WordBPE:
     No token of this vocabulary spans a blank, and neither its normaliser nor its
     pattern looks beyond one, so a text's ids are those of its stretches in order.
     Strings of special tokens in a text are ordinary text; with ``special`` they
-    are those tokens, as by the library's default.
+    are those tokens, as by the library's default. A vocabulary with another
+    normaliser or pattern is given whole texts.
     """
 
     def __init__(self, path: str, special: bool = False):
@@ -69,32 +76,45 @@ class WordBPE:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not special
         # two generations: when the young one is full it becomes the old one, from which what is met again comes back
+        steps = json.loads(self.library.pre_tokenizer.__getstate__()).get("pretokenizers", [{}]) if self.library.pre_tokenizer else [{}]
+        known = self.library.normalizer and json.loads(self.library.normalizer.__getstate__()) == json.loads(_NORMALISER)
+        self.by_stretch = bool(known) and steps[0].get("pattern") == {"Regex": _PATTERN}
+        #: whether a token ends a word
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in self.library.get_vocab(with_added_tokens=True).items() if token.endswith("</w>")]] = True
         self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _batch(self, texts: list[str]):
+        return self.library.encode_batch_fast(texts, add_special_tokens=False)
+
     def _learn(self, parts: set[str]) -> None:
         """Brings ``parts``, none of which is there, into the young generation.
 
         A full stop or comma after a letter or digit is a token of its own, so a
         stretch that ends in one is put together from the rest and the mark.
         """
-        young, missing, marked = self.young, set(), []
-        for part in parts:
-            if (ids := self.old.get(part)) is not None:
-                young[part] = ids
-            elif part[-1:] in self.marks and part[-2:-1] in _PLAIN:
-                marked.append(part)
-            else:
-                missing.add(part)
-        for part in marked:
-            if (rest := part[:-1]) not in young:
-                if (ids := self.old.get(rest)) is not None:
-                    young[rest] = ids
-                else:
-                    missing.add(rest)
-        fresh = list(missing)
-        for part, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False) if fresh else [], strict=True):
+        young, old = self.young, self.old
+        missing = parts.difference(old)
+        young.update((p, old[p]) for p in parts.difference(missing))
+        marked = [p for p in missing if p[-1:] in self.marks and p[-2:-1] in _PLAIN]
+        rests = {p[:-1] for p in marked}
+        young.update((p, old[p]) for p in rests.difference(rests.difference(old)))
+        missing = (missing.difference(marked) | rests).difference(young)
+        # letters below U+0100 alone are one word to the pattern and stay letters in the normaliser
+        fresh = [p for p in missing if p.isalpha() and _latin(p)]
+        for i in range(0, len(fresh), JOINED):
+            some = fresh[i : i + JOINED]
+            ids = np.array(self._batch([" ".join(some)])[0].ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) == len(some) and stops[-1] == 4 * len(ids):
+                data, start = ids.tobytes(), 0
+                for part, stop in zip(some, stops.tolist(), strict=True):
+                    young[part] = data[start:stop]
+                    start = stop
+        fresh = [p for p in missing if p not in young]
+        for part, e in zip(fresh, self._batch(fresh) if fresh else [], strict=True):
             young[part] = array("I", e.ids).tobytes()
         for part in marked:
             young[part] = young[part[:-1]] + self.marks[part[-1]]
@@ -102,20 +122,29 @@ class WordBPE:
     def encode(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
         """Ids of each text with ``end`` appended, as little-endian uint32."""
         out, last = [], struct.pack("<I", end)
+        if not self.by_stretch:
+            return [np.array([*e.ids, end], "<u4") for e in self._batch([t or "" for t in texts])]
+        rows = []
         for text in texts:
             text = text or ""
             # the normaliser would do so; here it makes fewer stretches, but could make special tokens
-            if text.isascii() and "<|" not in text:
+            if "<|" not in text and _latin(text):
                 text = text.lower()
-            parts = text.replace("\n", " ").split(" ")
-            if len(self.young) > MEMO:
-                self.old, self.young = self.young, {}
-            ids = list(map(self.young.get, parts))
-            if None in ids:
-                self._learn({p for p, i in zip(parts, ids, strict=True) if i is None})
-                ids = map(self.young.__getitem__, parts)
-            out.append(np.frombuffer(b"".join(ids) + last, "<u4"))
-        return out
+            rows.append(text.replace("\n", " ").split(" "))
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        if missing := set().union(*rows).difference(self.young):
+            self._learn(missing)
+        found = self.young.__getitem__
+        return [np.frombuffer(b"".join(map(found, parts)) + last, "<u4") for parts in rows]
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where the normaliser's lower case is Python's and nothing is composed."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 @lru_cache(1)
