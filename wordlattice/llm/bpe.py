@@ -38,6 +38,8 @@ SHORT = 48
 MEMO = 200_000
 #: Subtrees of at most this many bytes are remembered as well, LEAVES of them.
 LEAF, LEAVES = 8, 200_000
+#: Pairs of neighbouring tokens remembered with what they merge to.
+SEAMS = 200_000
 NEVER = 1 << 62
 
 
@@ -55,7 +57,8 @@ class ByteBPE:
         # when the young generation is full it becomes the old one, from which what is met again comes back
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.stable = lru_cache(200_000)(self._stable)
+        self.seam = lru_cache(SEAMS)(self._seam)
+        self.stable = lru_cache(SEAMS)(self._stable)
         self.leaf = lru_cache(LEAVES)(self._halves)
         self.joins = 0
 
@@ -93,16 +96,19 @@ class ByteBPE:
         if not left or not right:
             return left or right
         self.joins += 1
-        width = 2
-        while True:
+        window, i, j, width = self.seam(left[-1], right[0]), len(left) - 1, 1, 1
+        while not ((i == 0 or self.stable(left[i - 1], window[0])) and (j == len(right) or self.stable(window[-1], right[j]))):
+            width *= 2
             i, j = max(0, len(left) - width), min(len(right), width)
             window = self.merge(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
-            if (i == 0 or self.stable(left[i - 1], window[0])) and (j == len(right) or self.stable(window[-1], right[j])):
-                return left[:i] + window + right[j:]
-            width *= 2
+        return [*left[:i], *window, *right[j:]]
+
+    def _seam(self, a: int, b: int) -> list[int]:
+        """The window of two tokens."""
+        return self.merge(self.bytes_of[a] + self.bytes_of[b])
 
     def _stable(self, a: int, b: int) -> bool:
-        return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return self.seam(a, b) == [a, b]
 
     def merge(self, data: bytes) -> list[int]:
         """Merges by rank, the leftmost of equal ranks first."""
