@@ -23,11 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 SLICE = 500
 
 
+#: Rows of an Arrow batch, at most: texts can be long, and both sides of a Python function hold whole batches.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, if more are set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batches):
-    """Arrow batches in slices of SLICE rows."""
+    """Arrow batches in slices of SLICE rows; memory of spent batches goes back to the system."""
     for batch in batches:
         for i in range(0, batch.num_rows, SLICE):
             yield batch.slice(i, SLICE)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def with_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructField], factory: Callable[[], Callable]) -> DataFrame:
@@ -37,6 +50,7 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructFiel
     input and returns one list per field. A field replaces a column of the same
     name (whatever its case); all other columns pass through untouched.
     """
+    bounded_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordlattice.llm.common import BROADCAST_IDS, components, look_up, only_ids, release, slices, stored
+from wordlattice.llm.common import BROADCAST_IDS, bounded_batches, components, look_up, only_ids, release, slices, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -381,6 +381,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     no row of the class has an id). Repeated rows stay and link with each other;
     ids are taken to name one text. An empty table gives an empty result.
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = stored(_sets(docs))
     rows = sets.where("sketch is null").select("id", "n", "sig")

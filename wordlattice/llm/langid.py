@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordlattice.llm.common import with_columns
+from wordlattice.llm.common import bounded_batches, slices, with_columns
 
 N = 3
 DIMENSIONS = 512
@@ -106,6 +106,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
     Tasks count n-grams by language, bundle them and pass on one vector for each
     language; the driver gets as many vectors as there are languages.
     """
+    bounded_batches(df.sparkSession)
     schema = "lang string, place int, weight double"
 
     def run(batches):
@@ -118,7 +119,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
                 sums[lang] = sums[lang] + v if lang in sums else v
             counts.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table = counts.setdefault(lang, {})
                 codes, n = grams(text)
