@@ -69,6 +69,14 @@ def with_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructFiel
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a passing column: ``name`` with as many underscores before it as no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's name below the one that all executors share.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordlattice.llm.common import stored, with_columns
+from wordlattice.llm.common import stored, unused, with_columns
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -99,9 +99,9 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
         yield Windows([(r.item, r.text) for r in part.collect()], window)
 
 
-def _scanned(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, bench_text_col: str, window: int) -> DataFrame:
-    """``df`` with _hits (a byte for each word) and _items (sorted strings; null for items without an id)."""
-    fields = [T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))]
+def _scanned(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, bench_text_col: str, window: int, into: tuple[str, str]) -> DataFrame:
+    """``df`` with two columns named by ``into``: a byte for each word, 1 if hit, and the items (sorted strings; null for those without an id)."""
+    fields = [T.StructField(into[0], T.BinaryType()), T.StructField(into[1], T.ArrayType(T.StringType()))]
     out, first = df, True
     for block in blocks(benchmark, item_col, bench_text_col, window):
         shared = df.sparkSession.sparkContext.broadcast(block)
@@ -124,7 +124,7 @@ def _scanned(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
 
         if not first:
             out = stored(out)
-        out = with_columns(out, [text_col] if first else [text_col, "_hits", "_items"], fields, factory)
+        out = with_columns(out, [text_col] if first else [text_col, *into], fields, factory)
         first = False
     return out
 
@@ -134,8 +134,10 @@ def report(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
     A null or empty text has no words and no hits. An item without words, or an
     empty benchmark, hits nothing. An item without an id hits words but is not
-    listed. Repeated items count once by id; repeated documents stay.
+    listed. Repeated items count once by id; repeated documents stay. Columns named
+    like the five are replaced, all others pass.
     """
+    passing = unused(df, "_hits"), unused(df, "_items")
 
     def factory():
         def compute(hits, items):
@@ -150,9 +152,9 @@ def report(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
         return compute
 
-    found = _scanned(df, benchmark, text_col, item_col, bench_text_col, window)
+    found = _scanned(df, benchmark, text_col, item_col, bench_text_col, window, passing)
     fields = [*(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
-    return with_columns(found, ["_hits", "_items"], fields, factory).drop("_hits", "_items")
+    return with_columns(found, passing, fields, factory).drop(*passing)
 
 
 def _cut(text: str, hit: np.ndarray) -> str:
@@ -177,9 +179,9 @@ def filter_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     What a cut leaves is scanned again until nothing is hit, as words on its two
     sides may form another window. Clean texts pass unchanged, nulls included. A
     benchmark of one block is scanned in one pass; with more blocks, each round
-    passes all of them and ends in a stored table.
+    passes all of them and ends in a stored table. All columns but the text pass.
     """
-    order = df.columns
+    order, gone = df.columns, unused(df, "_gone")
     if block_count(benchmark, item_col, bench_text_col) > 1:
         return _filter_by_rounds(df, benchmark, text_col, item_col, bench_text_col, window, whole).select(*order)
     (block,) = blocks(benchmark, item_col, bench_text_col, window)
@@ -200,15 +202,17 @@ def filter_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     def factory():
         def compute(texts):
             done = [clean(t) for t in texts]
-            return [t for t, _ in done], [gone for _, gone in done]
+            return [t for t, _ in done], [lost for _, lost in done]
 
         return compute
 
-    fields = [T.StructField(text_col, T.StringType()), T.StructField("_gone", T.BooleanType())]
-    return with_columns(df, [text_col], fields, factory).where("not _gone").select(*order)
+    fields = [T.StructField(text_col, T.StringType()), T.StructField(gone, T.BooleanType())]
+    return with_columns(df, [text_col], fields, factory).where(~F.col(gone)).select(*order)
 
 
 def _filter_by_rounds(df, benchmark, text_col, item_col, bench_text_col, window, whole) -> DataFrame:
+    hits_, items_, total_, lost_, gone_, again_ = (unused(df, f"_{x}") for x in ("hits", "items", "total", "lost", "gone", "again"))
+
     def factory():
         def compute(texts, hits, totals, losses):
             out = [[], [], [], [], []]
@@ -223,12 +227,12 @@ def _filter_by_rounds(df, benchmark, text_col, item_col, bench_text_col, window,
 
         return compute
 
-    fields = [T.StructField(text_col, T.StringType()), T.StructField("_total", T.LongType()), T.StructField("_lost", T.LongType()), T.StructField("_gone", T.BooleanType()), T.StructField("_again", T.BooleanType())]
-    state = df.withColumn("_total", F.lit(None).cast("long")).withColumn("_lost", F.lit(0).cast("long"))
+    fields = [T.StructField(text_col, T.StringType()), *(T.StructField(c, T.LongType()) for c in (total_, lost_)), *(T.StructField(c, T.BooleanType()) for c in (gone_, again_))]
+    state = df.withColumn(total_, F.lit(None).cast("long")).withColumn(lost_, F.lit(0).cast("long"))
     while True:
-        found = _scanned(state, benchmark, text_col, item_col, bench_text_col, window)
-        done = with_columns(found, [text_col, "_hits", "_total", "_lost"], fields, factory)
-        state = stored(done.where("not _gone").drop("_hits", "_items", "_gone"))
-        if state.where("_again").isEmpty():
+        found = _scanned(state, benchmark, text_col, item_col, bench_text_col, window, (hits_, items_))
+        done = with_columns(found, [text_col, hits_, total_, lost_], fields, factory)
+        state = stored(done.where(~F.col(gone_)).drop(hits_, items_, gone_))
+        if state.where(F.col(again_)).isEmpty():
             return state
-        state = state.drop("_again")
+        state = state.drop(again_)

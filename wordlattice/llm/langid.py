@@ -142,11 +142,12 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
     return out
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``df`` with lang_pred and score, the cosine with the nearest prototype (0 to 1).
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dimensions: int = DIMENSIONS, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with two columns named by ``into``: the language, and its cosine with the nearest prototype (0 to 1).
 
     A null text, or one without a letter, gets 'und' and 0; so does every text if
     no language was learned. Of equally near languages the first by name wins.
+    Columns of these names are replaced, all others pass.
     """
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names]).reshape(len(names), dimensions)
@@ -172,4 +173,4 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
 
         return compute
 
-    return with_columns(df, [text_col], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], factory)
+    return with_columns(df, [text_col], [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())], factory)

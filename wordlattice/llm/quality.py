@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordlattice.llm.common import with_columns
+from wordlattice.llm.common import unused, with_columns
 from wordlattice.llm.toxicity import sample
 
 SAMPLE = 20_000
@@ -61,14 +61,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with ``stat``, a struct of STATISTICS; null counts as empty."""
+def with_statistics(df: DataFrame, text_col: str = "text", into: str = "stat") -> DataFrame:
+    """``df`` with ``into``, a struct of STATISTICS; null counts as empty, an empty table stays empty."""
     kind = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
 
     def factory():
         return lambda texts: [[dict(zip(STATISTICS, statistics(t), strict=True)) for t in texts]]
 
-    return with_columns(df, [text_col], [T.StructField("stat", kind)], factory)
+    return with_columns(df, [text_col], [T.StructField(into, kind)], factory)
 
 
 @dataclass(frozen=True)
@@ -206,7 +206,9 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` with score (0 to 1) and predicted (1 from 0.5).
 
-    Null and empty texts are scored by the statistics of an empty text; repeated rows stay.
+    Null and empty texts are scored by the statistics of an empty text; repeated rows stay, and an empty table gives an empty one. Columns
+    named score or predicted are replaced, all others pass.
     """
-    scored = with_statistics(df, text_col).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin("stat"))))
-    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).drop("stat")
+    stat = unused(df, "stat")
+    scored = with_statistics(df, text_col, stat).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin(stat))))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).drop(stat)
