@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordlattice.llm import bpe, decontam, jaccard, langid, pii
-from wordlattice.llm.common import stored, table
+from wordlattice.llm.common import stored, table, unused
 
 
 def language_id(spark, docs, sf_dir):
     """Learns languages from the labelled rows of ``docs``; texts that are null or have no letter go."""
-    found = langid.predict(docs.select("*"), langid.train(docs))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred"), unused(docs, "score")
+    found = langid.predict(docs, langid.train(docs), into=(lang, score))
+    return found.where(F.col(lang) != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
