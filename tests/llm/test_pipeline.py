@@ -98,3 +98,10 @@ def test_pii_kinds_are_known():
 def test_clash_columns_pass(spark):
     df = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, Decoded string")
     assert bpe.decode(bpe.encode(df)).columns == ["doc_id", "text", "token_ids", "decoded"]
+
+
+def test_language_stage_passes_columns_named_like_its_own(spark):
+    df = spark.createDataFrame([(1, "some words", "en", "x", "y"), (2, "123", "en", "x", "y"), (3, None, "en", "x", "y")], "doc_id long, text string, lang string, Lang_pred string, score string")
+    out = corpus_pipeline.language_id(spark, df, None)
+    assert out.columns == df.columns
+    assert [tuple(r) for r in out.collect()] == [(1, "some words", "en", "x", "y")]

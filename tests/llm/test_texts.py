@@ -214,6 +214,34 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontam.report(df.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_columns_named_like_inner_ones_pass(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    names = ["stat", "_HITS", "_items", "_total", "_lost", "_gone", "__gone", "_again"]
+    passage = " ".join(f"q{i}" for i in range(20))
+    df = spark.createDataFrame([(1, "clean words"), (2, "clean " * 60 + passage), (3, passage), (4, None)], "doc_id long, text string")
+    df = df.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    bench = spark.createDataFrame([(9, passage), (10, "v" * 200), (11, "u" * 200)], "item_id long, text string")
+    model = quality.fit(np.zeros((0, len(quality.STATISTICS))), np.zeros(0))
+    cases = [
+        (decontam.filter_spans(df, bench), [1, 2, 4], []),
+        (decontam.report(df, bench), [1, 2, 3, 4], ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]),
+        (quality.predict(df, model), [1, 2, 3, 4], ["score", "predicted"]),
+    ]
+    for out, ids, new in cases:
+        assert out.columns == df.columns + new
+        rows = out.orderBy("doc_id").collect()
+        assert [r.doc_id for r in rows] == ids
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_scores_of_empty_tables(spark, odd):
+    model = quality.fit(np.zeros((0, len(quality.STATISTICS))), np.zeros(0))
+    assert quality.predict(odd.limit(0), model).collect() == []
+    assert langid.predict(odd.limit(0), {}).collect() == []
+    assert pii.report(odd.limit(0)).collect() == [] and pii.masked(odd.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("block", [1 << 20, 300])
 def test_decontamination_filter(spark, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
