@@ -13,6 +13,7 @@ _SUB = cs.klass("cons", "indv")
 _UNIT = f"(?s){cs.COENG}[{_SUB}]|."
 
 
+REPLACEMENT = "\ufffd"
 _NOT_RO = f"(?!{kernels.RO})[{_SUB}]"
 #: A cluster that is canonical as it stands: one code point, or marks by slot without repetition.
 _CANONICAL = (
@@ -46,9 +47,29 @@ def repair(raw: Column) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
+def fault_offset(raw: Column) -> Column:
+    """Byte offset of the first ill-formed part; null if there is none.
+
+    Repairing keeps all before that part, so the text before the first
+    replacement character that the bytes don't hold themselves gives the place.
+    """
+    raw = raw.cast("binary")
+    parts = F.split(F.make_valid_utf8(raw.cast("string")), REPLACEMENT, -1)
+
+    def step(s: Column, part: Column) -> Column:
+        at = s["at"] + F.octet_length(part)
+        own = F.substring(raw, at + 1, F.lit(3)) == F.lit(REPLACEMENT.encode())
+        return F.when(s["found"], s).otherwise(F.struct(F.when(own, at + 3).otherwise(at).alias("at"), (~own).alias("found")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("found"))
+    return F.when(~F.is_valid_utf8(raw.cast("string")), F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda s: s["at"]))
+
+
 def strict(raw: Column) -> Column:
-    """Text of bytes; ill-formed bytes are an error."""
-    return F.validate_utf8(raw.cast("string"))
+    """Text of bytes; ill-formed bytes are an error that names the first one's offset."""
+    text = raw.cast("string")
+    message = F.concat(F.lit("INVALID_UTF8_STRING: ill-formed at byte "), fault_offset(raw).cast("string"))
+    return F.when(text.isNull() | F.is_valid_utf8(text), text).otherwise(F.raise_error(message).cast("string"))
 
 
 def split_words(line: Column) -> Column:
