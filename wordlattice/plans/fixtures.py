@@ -115,3 +115,19 @@ def walk_sql(backward: bool = False, name: str = "walk") -> str:
   FROM (SELECT doc_id, sent, text, unnest({order})::INT AS k FROM raw) p LEFT JOIN {name}_best b USING (doc_id, sent, k) GROUP BY p.doc_id, p.sent),
 {name}_end AS (SELECT doc_id, sent, list_reduce(steps, lambda s, x: CASE WHEN s.a = x.k THEN {{'a': x.to_, 'o': {"x.out || s.o" if backward else "s.o || x.out"}, 'n': s.n + 1, 'u': s.u + x.unk::INT, 'w': s.w + (NOT x.unk AND abs(x.to_ - x.k) = 1)::INT}} ELSE s END, {{'a': first, 'o': '', 'n': 0, 'u': 0, 'w': 0}}) AS s FROM {name}_steps),
 {name} AS (SELECT doc_id, sent, trim(regexp_replace(s.o, ' +', ' ', 'g')) AS segmented, s.n AS n, s.u AS u, s.w AS w FROM {name}_end)"""
+
+
+#: After EDGES_SQL: the cheapest path of each line, by the order in which edges are met, with merged unknowns.
+VITERBI_SQL = """
+met AS (SELECT doc_id, sent, f, t, cost, false AS unk FROM edges
+  UNION ALL SELECT doc_id, sent, f, f + 1, (SELECT max(cost) + 1 FROM lexicon), true FROM places),
+arriving AS (SELECT doc_id, sent, t, list({'f': f, 'cost': cost, 'unk': unk} ORDER BY f, unk) AS es FROM met GROUP BY doc_id, sent, t),
+boundaries AS (SELECT doc_id, sent, list(es ORDER BY t) AS bs FROM arriving GROUP BY doc_id, sent),
+tables AS (SELECT doc_id, sent, list_reduce(bs, lambda s, es: list_append(s,
+  list_reduce(list_transform(es, lambda e: {'c': s[e.f + 1].c + e.cost, 'n': s[e.f + 1].n + 1, 'f': e.f, 'unk': e.unk}),
+    lambda b, x: CASE WHEN x.c < b.c - 1e-9 OR (x.c <= b.c + 1e-9 AND x.n < b.n) THEN x ELSE b END)),
+  [{'c': 0.0::DOUBLE, 'n': 0, 'f': -1, 'unk': false}]) AS cells FROM boundaries),
+traced AS (SELECT doc_id, sent, text, list_reduce(list_reverse(range(1, len(cells))), lambda s, k: CASE WHEN s.a = k THEN
+  {'a': cells[k + 1].f::BIGINT, 'o': CASE WHEN cells[k + 1].unk THEN substr(text, k, 1) ELSE ' ' || substr(text, cells[k + 1].f + 1, k - cells[k + 1].f) || ' ' END || s.o} ELSE s END,
+  {'a': len(cells)::BIGINT - 1, 'o': ''}) AS s FROM tables JOIN raw USING (doc_id, sent)),
+cheapest AS (SELECT doc_id, sent, trim(regexp_replace(s.o, ' +', ' ', 'g')) AS segmented FROM traced)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordlattice.functions import charsets as cs
@@ -185,12 +185,13 @@ def gold_word_counts(spark, sf_dir) -> DataFrame:
     return prep.gold_word_counts(fx.gold(spark, sf_dir)).select("word", F.col("count").cast("double").alias("count"))
 
 
-@query(f"""WITH {fx.gold_sql(fx.MARKS)}, rows AS (SELECT unnest(words) AS word, 2.0::DOUBLE AS count FROM gold UNION ALL SELECT unnest(words), 0.0 FROM gold WHERE sent = 0)
+@query(f"""WITH {fx.gold_sql(fx.MARKS)}, halves AS (SELECT words, {fx.bucket_sql("array_to_string(words, ' ')", 2)} AS half FROM gold), rows AS (SELECT unnest(words) AS word, 2.0::DOUBLE AS count FROM halves WHERE half = 0 UNION ALL SELECT unnest(words), 0.0 FROM halves WHERE half = 1)
 SELECT word, sum(CASE WHEN count <> 0 THEN count END) AS count FROM rows WHERE regexp_matches(word, '^[{_BASE}][{cs.kind("khmer")}{cs.kind("joiner")}]*$') GROUP BY word HAVING sum(count) IS NULL OR sum(CASE WHEN count <> 0 THEN count END) IS NULL OR sum(count) >= 4""")
 def source_merge(spark, sf_dir) -> DataFrame:
-    lines = fx.gold(spark, sf_dir, fx.MARKS)
-    one = prep.word_rows(lines.select(F.array_join("words", " ").alias("value")), "gold", 2.0)
-    two = prep.word_rows(lines.where("sent = 0").select(F.explode("words").alias("value")), "list")
+    """Two sources that share all lines by hash: one counts its words, the other only lists them."""
+    lines = fx.gold(spark, sf_dir, fx.MARKS).withColumn("half", fn.sha1_bucket(F.array_join("words", " "), 2))
+    one = prep.word_rows(lines.where("half = 0").select(F.array_join("words", " ").alias("value")), "gold", 2.0)
+    two = prep.word_rows(lines.where("half = 1").select(F.explode("words").alias("value")), "list")
     return prep.merge_sources(one, two, min_count=4.0)
 
 
@@ -235,9 +236,8 @@ def bimm(spark, sf_dir) -> DataFrame:
     return _segmented(spark, sf_dir, "bimm")
 
 
-@query()
+@query(f"{_PATHS}, {fx.VITERBI_SQL} SELECT doc_id, sent, segmented FROM cheapest")
 def viterbi_segments(spark, sf_dir) -> DataFrame:
-    """Rows only: the order-dependent fold is held against the native fold and a Python model in the tests."""
     return _segmented(spark, sf_dir, "viterbi")
 
 
@@ -318,6 +318,212 @@ def bootstrap_interval(spark, sf_dir) -> DataFrame:
     return found.select(*(F.round(c, 6).alias(c) for c in ("low", "mean", "high")), "samples")
 
 
+# -- text helpers, readers and the rest --------------------------------------------------------------
+
+
+@query("""SELECT doc_id, md5(text || '�(�') AS digest, strlen(text)::INT AS fault_at FROM documents WHERE text IS NOT NULL""")
+def repaired_bytes(spark, sf_dir) -> DataFrame:
+    """Texts with two ill-formed parts behind them, repaired, and the first one's byte offset."""
+    raw = F.concat(F.col("text").cast("binary"), F.lit(b"\xc3(\xe1\x9e"))
+    rows = fx.documents(spark, sf_dir).where("text is not null")
+    return rows.select("doc_id", F.md5(fn.repair(raw).cast("binary")).alias("digest"), fn.fault_offset(raw).alias("fault_at"))
+
+
+@query("SELECT doc_id, md5(ltrim(rtrim(chr(9) || ' ' || text || ' ' || chr(13) || chr(9), ' ' || chr(9) || chr(13)), ' ' || chr(9))) AS digest FROM documents WHERE text IS NOT NULL")
+def trimmed_texts(spark, sf_dir) -> DataFrame:
+    padded = F.concat(F.lit("\t "), "text", F.lit(" \r\t"))
+    return fx.documents(spark, sf_dir).where("text is not null").select("doc_id", F.md5(fn.trim(padded).cast("binary")).alias("digest"))
+
+
+_BEFORE, _AFTER = ["", "+", "-", "--", ".", "0x", " "], ["", ".5", ".", "e2", "E-1", "e", "d", "f", " ", "e400", "NaN"]
+_NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+@query(f"""WITH texts AS (SELECT b, a, b || c_custkey || a AS t FROM customer, (SELECT unnest({_BEFORE}) AS b), (SELECT unnest({_AFTER}) AS a)),
+numbers AS (SELECT b, a, CASE WHEN regexp_matches(t, '{_NUMBER}') AND isfinite(try_cast(t AS DOUBLE)) THEN try_cast(t AS DOUBLE) END AS v FROM texts)
+SELECT b AS before, a AS behind, count(*) AS n, count(v) AS parsed, round(sum(v), 2) AS total FROM numbers GROUP BY ALL""")
+def parsed_numbers(spark, sf_dir) -> DataFrame:
+    """Numbers in well-formed and ill-formed spellings."""
+    spellings = F.array(*(F.struct(F.lit(b).alias("before"), F.lit(a).alias("behind")) for b in _BEFORE for a in _AFTER))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"), F.explode(spellings).alias("s")).select("key", "s.*")
+    rows = rows.withColumn("v", fn.parse_double(F.concat("before", "key", "behind")))
+    return rows.groupBy("before", "behind").agg(F.count("*").alias("n"), F.count("v").alias("parsed"), F.round(F.sum("v"), 2).alias("total"))
+
+
+_PUNCT_SQL = cs.kind("punct").replace("'", "''")
+
+
+@query(f"""WITH words AS (SELECT unnest(regexp_extract_all(text, '[{_PUNCT_SQL}]+|[^{_PUNCT_SQL}]+|(?s).')) AS word FROM documents)
+SELECT word, regexp_full_match(word, '[{_PUNCT_SQL}]+') AS punct, count(*) AS n FROM words WHERE length(word) <= 3 GROUP BY ALL""")
+def punct_words(spark, sf_dir) -> DataFrame:
+    """Short stretches of punctuation and of all else."""
+    words = F.regexp_extract_all("text", F.lit(f"[{cs.kind('punct')}]+|[^{cs.kind('punct')}]+"), F.lit(0))
+    rows = fx.documents(spark, sf_dir).select(F.explode(words).alias("word")).where("char_length(word) <= 3")
+    return rows.groupBy("word", fn.is_punct_word(F.col("word")).alias("punct")).agg(F.count("*").alias("n"))
+
+
+_VALUES = ["", "3", "-1", "2.5", "1e1", "abc", " 4 ", "1d"]
+_LINES_SQL = f"""words AS (SELECT word, row_number() OVER (ORDER BY word) AS line FROM (SELECT DISTINCT unnest(words) AS word FROM gold)),
+lines AS (SELECT line, word, ({_VALUES})[1 + line % {len(_VALUES)}] AS raw FROM words),
+numbers AS (SELECT *, trim(raw) AS r, CASE WHEN regexp_matches(trim(raw), '{_NUMBER}') THEN try_cast(trim(raw) AS DOUBLE) END AS v FROM lines)"""
+
+
+def _file_lines(spark, sf_dir) -> DataFrame:
+    """Lines of a lexicon file with every word of the marked corpus and good and bad numbers, comments between them."""
+    words = fx.gold(spark, sf_dir, fx.MARKS).select(F.explode("words").alias("word")).distinct()
+    lines = words.select(F.row_number().over(Window.orderBy("word")).cast("long").alias("line"), "word")  # distinct words only
+    value = F.element_at(F.array(*map(F.lit, _VALUES)), (1 + F.col("line") % len(_VALUES)).cast("int"))
+    rows = F.array(F.struct((F.col("line") * 3).alias("line"), F.concat("word", F.lit("\t"), value).alias("value")), F.struct((F.col("line") * 3 + 1).alias("line"), F.concat(F.lit("# "), "word").alias("value")), F.struct((F.col("line") * 3 + 2).alias("line"), F.lit(" ").alias("value")))
+    return lines.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query(f"""WITH {fx.gold_sql(fx.MARKS)}, {_LINES_SQL}
+SELECT line * 3 AS line, word, CASE WHEN r <> '' AND v IS NULL THEN 'bad number ' || chr(39) || r || chr(39) WHEN regexp_matches(word, '^[{_ORPHAN}]') THEN 'starts with a mark' WHEN v < 0 THEN 'negative count' END AS message
+FROM numbers WHERE message IS NOT NULL""")
+def lexicon_file_rejects(spark, sf_dir) -> DataFrame:
+    rows = lx.parse(_file_lines(spark, sf_dir)).where("rejected is not null")
+    return rows.select("line", "word", F.col("rejected").alias("message"))
+
+
+@query(f"""WITH {fx.gold_sql(fx.MARKS)}, {_LINES_SQL}
+SELECT word, min(line) * 3 AS line, 2 * sum(v) AS value, 2 * count(*) AS rows FROM numbers
+WHERE NOT (r <> '' AND v IS NULL) AND NOT regexp_matches(word, '^[{_ORPHAN}]') AND coalesce(v, 0) >= 0 GROUP BY word""")
+def lexicon_duplicates(spark, sf_dir) -> DataFrame:
+    """Every accepted line twice: counts add up, the first line stays."""
+    once = lx.accepted(lx.parse(_file_lines(spark, sf_dir)))
+    twice = once.unionByName(once.withColumn("line", F.col("line") + 1_000_000_000))
+    return lx.combine(twice, normalize=False).select("word", "line", "value", "rows")
+
+
+@query(f"""WITH {fx.gold_sql()}, {fx.lexicon_sql()} SELECT sum(count) AS total, round(max(cost), 6) AS max_cost, round(max(cost) + 1, 6) AS unknown_cost, max(length(word))::INT AS max_chars, max(length(word))::INT AS max_clusters FROM lexicon""")
+def lexicon_meta(spark, sf_dir) -> DataFrame:
+    m = fx.lexicon(spark, sf_dir).meta
+    return spark.createDataFrame([(m.total, round(m.max_cost, 6), round(m.unknown_cost, 6), m.max_chars, m.max_clusters)], "total double, max_cost double, unknown_cost double, max_chars int, max_clusters int")
+
+
+@query(f"""WITH {fx.gold_sql(fx.MARKS)}, {_LINES_SQL}
+SELECT word, CASE WHEN v * 3 <> 0 THEN v * 3 END AS count FROM numbers WHERE (r = '' OR v IS NOT NULL) AND regexp_matches(word, '^[{_BASE}][{cs.kind("khmer")}{cs.kind("joiner")}]*$')""")
+def counts_source(spark, sf_dir) -> DataFrame:
+    """A source of counted words, weight 3, with comments, blank lines and bad numbers."""
+    return prep.merge_sources(prep.word_rows(_file_lines(spark, sf_dir), "counts", 3.0))
+
+
+@query(f"WITH {fx.gold_sql()} SELECT doc_id, sent, array_to_string(words, ' ') AS plain, array_to_string(list_transform(words, lambda w: CASE WHEN length(w) > 1 THEN w[1:1] || ' ' || w[2:] ELSE w END), ' ') AS parted FROM gold")
+def tagged_words(spark, sf_dir) -> DataFrame:
+    """Lines of word/TAG tokens whose words of two letters or more are compounds, joined and split."""
+    token = F.array_join(F.transform("words", lambda w: F.concat(F.substring(w, 1, 1), F.when(F.char_length(w) > 1, "~").otherwise(""), F.substring(w, 2, 1 << 30), F.lit("/NN"))), " ")
+    rows = fx.gold(spark, sf_dir).withColumn("line", token)
+    return rows.select("doc_id", "sent", *(F.array_join(prep.from_tagged(F.col("line"), split), " ").alias(n) for n, split in (("plain", False), ("parted", True))))
+
+
+@query(f"""WITH {fx.gold_sql()}, items AS (SELECT doc_id, sent, unnest(words) AS w, unnest(range(len(words))) AS k FROM gold),
+groups AS (SELECT doc_id, sent, min(k) AS k, string_agg(w, '' ORDER BY items.k) AS word FROM items GROUP BY doc_id, sent, CASE WHEN items.k % 4 = 0 THEN items.k ELSE items.k - items.k % 4 + 1 END)
+SELECT doc_id || ':' || sent AS sid, string_agg(word, ' ' ORDER BY k) AS words FROM groups GROUP BY doc_id, sent""")
+def bracketed_words(spark, sf_dir) -> DataFrame:
+    """Sentences whose tokens 2 to 4 of every four are a bracket group; a group may be left open."""
+    gold = fx.gold(spark, sf_dir).withColumn("sid", F.concat_ws(":", "doc_id", "sent")).withColumn("line", F.xxhash64("sid"))
+    tag = F.transform("words", lambda w, k: F.element_at(F.array(*map(F.lit, ("N", "[N", "V", "N]"))), (k % 4 + 1).cast("int")))
+    lines = [gold.select("line", F.concat("sid", F.lit("\t"), F.array_join(c, " ")).alias("value")) for c in (F.col("words"), tag)]
+    return prep.from_bracketed(*lines).select("sid", F.array_join("words", " ").alias("words"))
+
+
+@query(f"{_PATHS} SELECT doc_id, sent, count(*) AS n_edges, count(*) FILTER (unk) AS n_unknown, round(sum(cost), 3) AS cost FROM (SELECT doc_id, sent, cost, false AS unk FROM edges UNION ALL SELECT doc_id, sent, 7.5, true FROM places) GROUP BY doc_id, sent")
+def unknown_edges(spark, sf_dir) -> DataFrame:
+    lex = fx.lexicon(spark, sf_dir)
+    parts = fx.raw(spark, sf_dir).select("doc_id", "sent", fn.normalized_clusters(F.col("text")).alias("parts"))
+    edges = native.lattice(parts, lex.entries, lex.meta.max_clusters, "doc_id", "sent", unknown_cost=7.5)
+    return edges.groupBy("doc_id", "sent").agg(F.count("*").alias("n_edges"), F.count_if(F.col("entry").isNull()).alias("n_unknown"), F.round(F.sum("cost"), 3).alias("cost"))
+
+
+@query(f"""{_PATHS}, {fx.walk_sql()}, tally AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(segmented, ' ')) AS word FROM walk) GROUP BY word)
+SELECT word, n FROM tally WHERE n >= 3 AND word NOT IN (SELECT word FROM lexicon)""")
+def em_candidates(spark, sf_dir) -> DataFrame:
+    """Unknown pieces that occur three times or more."""
+    lex = fx.lexicon(spark, sf_dir)
+    return prep.candidates(prep.tally(fx.raw(spark, sf_dir), lex, Options("fmm")), lex.entries, least=3).select("word", "n")
+
+
+@query(f"WITH {fx.gold_sql()} SELECT doc_id, sent, array_to_string(words, '{cs.LEK_TOO} ') || '{cs.LEK_TOO} 12 {cs.LEK_TOO}' AS shown FROM gold")
+def lektoo_attach(spark, sf_dir) -> DataFrame:
+    """The repetition sign joins the Khmer token it touches, and no other."""
+    text = F.concat(F.array_join("words", cs.LEK_TOO), F.lit(f"{cs.LEK_TOO}12 {cs.LEK_TOO}"))
+    rows = segment(fx.gold(spark, sf_dir).withColumn("text", text), None, Options(attach_lektoo=True))
+    return rows.select("doc_id", "sent", render.to_space(F.col("tokens")).alias("shown"))
+
+
+_MIXED_SQL = f"""sentences AS MATERIALIZED (SELECT doc_id, unnest(range(len(parts)))::INT AS sent, unnest(parts) AS s FROM (SELECT doc_id, string_split_regex(text, '[.\\n]') AS parts FROM documents)),
+golds AS (SELECT * FROM (SELECT doc_id, sent, list_filter(string_split_regex(s, '[ \\t\\r]+'), lambda w: w <> '') AS g FROM sentences) WHERE len(g) > 0),
+pairs AS (SELECT doc_id, sent, g, list_filter(regexp_extract_all(array_to_string(g, ''), '{PRETOKEN}'), lambda t: NOT regexp_matches(t, '^[{cs.kind("space")}]')) AS p FROM golds),
+gs AS (SELECT doc_id, sent, w, sum(length(w)) OVER o AS e, sum(length(w)) OVER o - length(w) AS s FROM (SELECT doc_id, sent, unnest(g) AS w, unnest(range(len(g))) AS k FROM pairs) WINDOW o AS (PARTITION BY doc_id, sent ORDER BY k)),
+ps AS (SELECT doc_id, sent, w, sum(length(w)) OVER o AS e, sum(length(w)) OVER o - length(w) AS s FROM (SELECT doc_id, sent, unnest(p) AS w, unnest(range(len(p))) AS k FROM pairs) WINDOW o AS (PARTITION BY doc_id, sent ORDER BY k)),
+ok AS (SELECT doc_id, sent, len(list_filter(g, lambda w: NOT regexp_full_match(w, '[{_PUNCT_SQL}]+'))) AS n_gold, len(list_filter(p, lambda w: NOT regexp_full_match(w, '[{_PUNCT_SQL}]+'))) AS n_pred, array_to_string(g, '') <> array_to_string(p, '') AS skipped FROM pairs),
+hit AS (SELECT doc_id, sent, count(*) AS n FROM gs JOIN ps USING (doc_id, sent, s, e) WHERE NOT regexp_full_match(gs.w, '[{_PUNCT_SQL}]+') GROUP BY ALL)"""
+
+
+@query(f"WITH {_MIXED_SQL} SELECT doc_id, sent, skipped, CASE WHEN skipped THEN 0 ELSE n_gold END::BIGINT AS n_gold, CASE WHEN skipped THEN 0 ELSE n_pred END::BIGINT AS n_pred, CASE WHEN skipped THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_correct FROM ok LEFT JOIN hit USING (doc_id, sent)")
+def eval_mixed(spark, sf_dir) -> DataFrame:
+    """Words between blanks of all scripts against coarse tokens; punctuation doesn't count."""
+    gold = fx.sentences(spark, sf_dir).select("doc_id", "sent", fn.split_words(F.col("s")).alias("gold")).where("size(gold) > 0")
+    scored = evaluate.with_scores(evaluate.predict(gold, None), ignore_punct=True)
+    return scored.select("doc_id", "sent", "skipped", "n_gold", "n_pred", "n_correct")
+
+
+def _lines_of(df: DataFrame) -> DataFrame:
+    return df.withColumn("line", F.concat_ws(":", "doc_id", "sent"))
+
+
+@query(f"{_PATHS}, {fx.walk_sql()} SELECT doc_id || ':' || sent AS line, array_to_string(words, ' ') AS gold, segmented AS pred FROM gold JOIN walk USING (doc_id, sent)")
+def paired_lines(spark, sf_dir) -> DataFrame:
+    """Gold and predicted files joined by line."""
+    pred = _lines_of(_segmented(spark, sf_dir, "fmm")).select("line", F.col("segmented").alias("pred"))
+    gold = _lines_of(fx.gold(spark, sf_dir)).select("line", F.array_join("words", " ").alias("gold"))
+    return evaluate.paired_lines(gold, pred).select("line", "gold", "pred")
+
+
+@query(f"""{_PATHS}, {fx.walk_sql()}, {_SPANS_SQL},
+shown_g AS (SELECT doc_id, sent, string_agg(CASE WHEN (doc_id, sent, s, e) IN (SELECT (doc_id, sent, s, e) FROM ps) THEN w ELSE '[' || w || ']' END, ' ' ORDER BY e) AS gold FROM gs GROUP BY ALL),
+shown_p AS (SELECT doc_id, sent, string_agg(CASE WHEN (doc_id, sent, s, e) IN (SELECT (doc_id, sent, s, e) FROM gs) THEN w ELSE '[' || w || ']' END, ' ' ORDER BY e) AS pred FROM ps GROUP BY ALL)
+SELECT doc_id || ':' || sent AS line, shown_g.gold, shown_p.pred FROM scores JOIN shown_g USING (doc_id, sent) JOIN shown_p USING (doc_id, sent) WHERE exact = 0 ORDER BY line LIMIT 20""")
+def error_lines(spark, sf_dir) -> DataFrame:
+    """The first twenty lines that aren't exact: a report."""
+    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
+    return evaluate.errors(_lines_of(evaluate.with_scores(evaluate.predict(gold, fx.lexicon(spark, sf_dir), Options("fmm")))))
+
+
+_FOLD_F1 = "2.0 * sum(correct) / (sum(pred) + sum(gold))"
+
+
+@query(f"""{_PATHS}, {fx.walk_sql()}, {_SPANS_SQL}, folds AS (SELECT list_sort(list(f)) AS v, avg(f) AS mean FROM (SELECT {_FOLD_F1} AS f FROM scores GROUP BY doc_id % 1000))
+SELECT round(v[1 + floor(0.025 * (len(v) - 1) + 0.5)::INT], 9) AS low, round(mean, 9) AS mean, round(v[1 + floor(0.975 * (len(v) - 1) + 0.5)::INT], 9) AS high, len(v)::BIGINT AS samples FROM folds""")
+def fold_interval(spark, sf_dir) -> DataFrame:
+    """Nearest-rank 95 % bounds of F1 over 1,000 folds of all documents."""
+    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
+    scored = evaluate.with_scores(evaluate.predict(gold, fx.lexicon(spark, sf_dir), Options("fmm")))
+    folds = scored.groupBy((F.col("doc_id") % 1000).alias("fold")).agg((2.0 * F.sum("n_correct") / (F.sum("n_pred") + F.sum("n_gold"))).alias("f1"))
+    return evaluate.interval_of(folds).select(*(F.round(c, 9).alias(c) for c in ("low", "mean", "high")), "samples")
+
+
+@query(f"""{_PATHS}, {fx.VITERBI_SQL}, {_SPANS_SQL.replace("JOIN walk", "JOIN cheapest")}, t AS (SELECT sum(correct) / sum(pred) AS p, sum(correct) / sum(gold) AS r FROM scores)
+SELECT 16.0::DOUBLE + 0 * p AS value, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1 FROM t""".replace("(SELECT max(cost) + 1 FROM lexicon)", "16.0::DOUBLE"))
+def sweep_best_row(spark, sf_dir) -> DataFrame:
+    """A grid of one unknown cost, which SQL can follow."""
+    gold = fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
+    rows = evaluate.sweep(gold, fx.lexicon(spark, sf_dir), "unknown_cost", [16.0])
+    return rows.where("best").select("value", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+_SYSTEM = "SELECT '{0}' AS system, count(*) AS n, sum(len(string_split(segmented, ' ')))::BIGINT AS pieces FROM {1}"
+
+
+@query(f"""{_PATHS}, {fx.walk_sql()}, {fx.walk_sql(backward=True, name='back')}, {fx.VITERBI_SQL}
+{' UNION ALL '.join(_SYSTEM.format(*x) for x in (('fmm', 'walk'), ('bmm', 'back'), ('viterbi', 'cheapest')))}""")
+def system_matrix(spark, sf_dir) -> DataFrame:
+    """Three algorithms over the same lines."""
+    lex, gold = fx.lexicon(spark, sf_dir), fx.gold(spark, sf_dir).withColumnRenamed("words", "gold")
+    rows = evaluate.matrix(gold, {a: (lex, Options(a)) for a in ("fmm", "bmm", "viterbi")})
+    return rows.select("system", F.col("sentences").alias("n"), F.col("n_pred").alias("pieces"))
+
+
 def flagship(spark, sf_dir) -> DataFrame:
     """The cheapest path through every line."""
     return viterbi_segments(spark, sf_dir)
