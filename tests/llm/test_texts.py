@@ -1,6 +1,7 @@
 """Operators on single texts against brute force, exact round trips or held-out accuracy."""
 
 import hashlib
+import pickle
 import random
 import re
 
@@ -201,6 +202,32 @@ def bench_rows():
     return docs + [(100, None), (101, ""), (0, "x null ITEM words, here y")], items
 
 
+def test_windows_against_every_pair():
+    rng = random.Random(7)
+    for _ in range(300):
+        vocabulary = [rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(4)]
+        items = [(rng.choice([None, f"i{k}"]), " ".join(rng.choices(vocabulary, k=rng.randrange(9)))) for k in range(rng.randrange(6))]
+        tokens = decontam.words(" ".join(rng.choices(vocabulary, k=rng.randrange(30))))
+        hit, found = [False] * len(tokens), set()
+        for item, text in items:
+            own = decontam.words(text)
+            size = min(4, len(own))
+            for i in range(len(own) - size + 1 if size else 0):
+                for j in range(len(tokens) - size + 1):
+                    if tokens[j : j + size] == own[i : i + size]:
+                        found.add(item)
+                        hit[j : j + size] = [True] * size
+        flags, names = decontam.Windows(items, 4).scan(tokens)
+        assert (flags.tolist(), names) == (hit, found)
+
+
+def test_windows_are_small():
+    rng = random.Random(8)
+    items = [(str(k), " ".join(f"{rng.getrandbits(24):x}" for _ in range(400))) for k in range(300)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontam.Windows(items))) < 5 * size
+
+
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block * 25)
