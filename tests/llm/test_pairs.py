@@ -194,3 +194,28 @@ def test_look_up_splits_hot_keys(spark, monkeypatch):
     found = spark.createDataFrame([("hot", 1, 50), ("k3", 2, 1)], "k string, v int, _n long")
     got = sorted(((r.k, r.v) for r in common.look_up(df, found, "k", 73).collect()), key=repr)
     assert got == sorted([("hot", 1)] * 50 + [(None, None)] * 3 + [(f"k{i}", 2 if i == 3 else None) for i in range(20)], key=repr)
+
+
+@pytest.mark.parametrize("power", [-1000, -300, 0, 300, 1000])
+def test_cosine_of_extreme_vectors(power):
+    a, b = np.array([3.0, 4.0]), np.array([4.0, 3.0])
+    assert embdedup.cosine(np.ldexp(a, power), b) == pytest.approx(0.96) == embdedup.cosine(b, np.ldexp(a, power))
+
+
+def test_neighbour_cells_are_exact():
+    """Each pair within the radius meets in some block: either in one cell or each within reach of the other's."""
+    rng = np.random.default_rng(3)
+    d, grid, limit = 24, 3, 0.9
+    for _ in range(300):
+        a = rng.standard_normal(d)
+        b = a + rng.standard_normal(d) * rng.uniform(0, 0.15)
+        if embdedup.cosine(a, b) < limit:
+            continue
+        (_, _, x), (_, _, y) = (embdedup._placed(v.tobytes(), grid, limit) for v in (a, b))
+        meets = False
+        for (one, p), (two, q) in zip(x, y, strict=True):
+            step = np.subtract(two, one)
+            if np.abs(step).max() <= 1:
+                gaps = [sum((1 - f if s > 0 else f) ** 2 for s, f in zip(t, place, strict=True) if s) for t, place in ((step, p), (-step, q))]
+                meets |= max(gaps) <= 1 + 1e-6
+        assert meets

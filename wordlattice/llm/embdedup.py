@@ -7,7 +7,8 @@ that block's share of the squared distance, in proportion to its dimensions.
 
 In each block a range join finds such pairs: the first few dimensions are laid
 out in cells as wide as the block's radius, so partners lie in the same or
-neighbouring cells. Cells with many vectors are cut into chunks and a group
+neighbouring cells; a vector is sent to those neighbours only whose nearest
+point lies within the radius. Cells with many vectors are cut into chunks and a group
 holds one chunk of either cell, so groups are bounded. Groups compare vectors in
 eight bits a dimension, with the rounding error added to the radius; the union
 of what they let pass is then verified in double precision.
@@ -67,7 +68,14 @@ def unit(a: np.ndarray) -> np.ndarray:
     return a / np.linalg.norm(a)
 
 
+def _scaled(a: np.ndarray) -> np.ndarray:
+    """``a``, or a multiple of it by a power of two if its squares could overflow or vanish."""
+    _, power = math.frexp(np.abs(a).max())
+    return a if abs(power) < 200 else np.ldexp(a, -power)
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = _scaled(a), _scaled(b)
     return float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
 
 
@@ -85,11 +93,15 @@ def _read(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _placed(v: bytes, grid: int, limit: float):
-    """Of a vector: its dimensions, its eight-bit rotation, and for each block its cell."""
+    """Of a vector: its dimensions, its eight-bit rotation, and for each block its cell and the place in it (0 to 1 in each dimension)."""
     a = np.frombuffer(v, np.float64)
     d = len(a)
     x = rotation(d) @ unit(a)
-    cells = [tuple(np.floor(x[i : min(j, i + grid)] / radius(d, j - i, limit)).astype(int).tolist()) for i, j in blocks(d)]
+    cells = []
+    for i, j in blocks(d):
+        at = x[i : min(j, i + grid)] / radius(d, j - i, limit)
+        low = np.floor(at)
+        cells.append((tuple(low.astype(int).tolist()), (at - low).tolist()))
     return d, np.rint(x * SCALE).astype(np.int8).tobytes(), cells
 
 
@@ -119,7 +131,7 @@ def _candidates(classes: DataFrame, count: int, limit: float) -> DataFrame:
 
     def place(batches):
         for batch in batches:
-            keys = [f"{d}:{k}:{c}" for v in batch.column(1).to_pylist() for d, _, cells in [_placed(v, grid, limit)] for k, c in enumerate(cells)]
+            keys = [f"{d}:{k}:{c}" for v in batch.column(1).to_pylist() for d, _, cells in [_placed(v, grid, limit)] for k, (c, _) in enumerate(cells)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], names=["cell"])
 
     hot = classes.select("rep", "v").mapInArrow(place, "cell string").groupBy("cell").count().where(F.col("count") > chunk)
@@ -140,7 +152,7 @@ def _candidates(classes: DataFrame, count: int, limit: float) -> DataFrame:
 
             for rep, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 d, q, cells = _placed(v, grid, limit)
-                for k, own in enumerate(cells):
+                for k, (own, place) in enumerate(cells):
                     here = f"{d}:{k}:{own}"
                     n = many.get(here, 1)
                     mine = rep % n
@@ -152,7 +164,12 @@ def _candidates(classes: DataFrame, count: int, limit: float) -> DataFrame:
                         if not any(step):
                             continue
                         up, down = tuple(a + b for a, b in zip(own, step, strict=True)), tuple(a - b for a, b in zip(own, step, strict=True))
-                        for other, side in ((f"{d}:{k}:{up}", 0), (f"{d}:{k}:{down}", 1)):
+                        # squared distance to the two cells, in radii; a little over 1 is let pass for rounding
+                        ahead = sum((1 - p if s > 0 else p) ** 2 for s, p in zip(step, place, strict=True) if s)
+                        behind = sum((p if s > 0 else 1 - p) ** 2 for s, p in zip(step, place, strict=True) if s)
+                        for other, side, far_off in ((f"{d}:{k}:{up}", 0, ahead), (f"{d}:{k}:{down}", 1, behind)):
+                            if far_off > 1 + 1e-6:
+                                continue
                             for far in range(many.get(other, 1)):
                                 add(f"{here}|{other}|{mine}|{far}" if side == 0 else f"{other}|{here}|{far}|{mine}", side, rep, q)
                 if len(keys) > 20_000:
