@@ -353,13 +353,13 @@ def parsed_numbers(spark, sf_dir) -> DataFrame:
 _PUNCT_SQL = cs.kind("punct").replace("'", "''")
 
 
-@query(f"""WITH words AS (SELECT unnest(regexp_extract_all(text, '[{_PUNCT_SQL}]+|[^{_PUNCT_SQL}]+|(?s).')) AS word FROM documents)
-SELECT word, regexp_full_match(word, '[{_PUNCT_SQL}]+') AS punct, count(*) AS n FROM words WHERE length(word) <= 3 GROUP BY ALL""")
+@query(f"""WITH words AS (SELECT unnest(regexp_extract_all(text, '[{_PUNCT_SQL}]+|[^{_PUNCT_SQL}]+')) AS word FROM documents)
+SELECT md5(word) AS word, regexp_full_match(word, '[{_PUNCT_SQL}]+') AS punct, count(*) AS n FROM words GROUP BY ALL""")
 def punct_words(spark, sf_dir) -> DataFrame:
-    """Short stretches of punctuation and of all else."""
+    """Stretches of punctuation and of all else, by digest."""
     words = F.regexp_extract_all("text", F.lit(f"[{cs.kind('punct')}]+|[^{cs.kind('punct')}]+"), F.lit(0))
-    rows = fx.documents(spark, sf_dir).select(F.explode(words).alias("word")).where("char_length(word) <= 3")
-    return rows.groupBy("word", fn.is_punct_word(F.col("word")).alias("punct")).agg(F.count("*").alias("n"))
+    rows = fx.documents(spark, sf_dir).select(F.explode(words).alias("word"))
+    return rows.groupBy(F.md5(F.col("word").cast("binary")).alias("word"), fn.is_punct_word(F.col("word")).alias("punct")).agg(F.count("*").alias("n"))
 
 
 _VALUES = ["", "3", "-1", "2.5", "1e1", "abc", " 4 ", "1d"]
