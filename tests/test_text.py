@@ -220,3 +220,23 @@ def test_class_table_against_unicode_names():
     assert len(seen) == len(set(seen))
     kinds = [p for ranges in cs.KINDS.values() for a, b in ranges for p in range(a, b + 1)]
     assert len(kinds) == len(set(kinds))
+
+
+def test_very_long_clusters_and_tokens(spark):
+    """A greedy group in Java's patterns takes a stack frame for each turn: these texts ended the executor."""
+    texts = ["ក" + "ូវាុា" * 4000, "ូា" * 15000, "ក" + "្ក" * 20000, "ក" + "្" * 20000, "1," * 20000 + "1", "a-" * 20000 + "a", "😀" + "‍😀" * 20000, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = df.select("i", fn.clusters(F.col("text")).alias("c"), fn.pretokenize(F.col("text")).alias("p"), fn.normalize(F.col("text")).alias("n"), F.col("text")).collect()
+    for r in rows:
+        if r.text is None:
+            assert r.c is None and r.p is None and r.n is None
+            continue
+        assert r.c == kernels.clusters(r.text) and r.n == kernels.normalize(r.text)
+        assert [t.text for t in r.p] == [t for t, _ in kernels.pretokenize(r.text)]
+
+
+def test_issues_of_long_texts_by_blocks(spark):
+    texts = ["ក" + "ា" * (2 * fn.BLOCK + 3), "ក្្ា" * (fn.BLOCK + 1), "ា" * fn.BLOCK, "ក" * fn.BLOCK + "៎", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fn.cluster_issues(F.col("text")).alias("i")).collect()
+    for r in rows:
+        assert r.i is None if r.text is None else [tuple(i) for i in r.i] == kernels.cluster_issues(r.text)
