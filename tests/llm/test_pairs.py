@@ -123,6 +123,21 @@ def test_jaccard_rows_without_id_and_empty_table(spark):
     assert jaccard.join(df.limit(0)).collect() == []
 
 
+def test_driver_gets_one_packed_sketch(spark, monkeypatch):
+    texts = [" ".join(random.Random(i).choices("abcdefgh", k=40)) for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(30)
+    sets = jaccard.stored(jaccard._sets(docs))
+    sent, collect = [], type(sets.rdd).collect
+    for kind in {type(sets.rdd), *type(sets.rdd).__mro__}:
+        if "collect" in vars(kind):
+            monkeypatch.setattr(kind, "collect", lambda self: sent.extend(out := collect(self)) or out)
+    counts = jaccard._frequencies(sets)
+    assert len(sent) == 1 and len(sent[0]) < counts.nbytes // 8
+    found = np.concatenate([jaccard.hashes(t) for t in texts]) >> np.uint64(64 - jaccard.SKETCH_BITS)
+    assert np.array_equal(counts, np.bincount(found.astype(np.int64), minlength=1 << jaccard.SKETCH_BITS))
+    assert not jaccard._frequencies(sets.where("false")).any()
+
+
 def test_prefix_lengths():
     tokens = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 100, dtype=np.uint64))
     sketch = np.ones(1 << jaccard.SKETCH_BITS)

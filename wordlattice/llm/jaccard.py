@@ -155,11 +155,29 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, sig binary, sketch binary")
 
 
+def _merged(sets: DataFrame):
+    """An RDD of the tasks' sketches summed and packed again: one item, or none without sketches.
+
+    Groups of about the square root of the number of tasks are summed first, then
+    the groups' sums; so the driver gets one packed sketch, however many tasks ran.
+    """
+
+    def total(packed):
+        out = None
+        for item in packed:
+            one = np.frombuffer(zlib.decompress(item), np.int64)
+            out = one.copy() if out is None else np.add(out, one, out=out)
+        return [] if out is None else [zlib.compress(out.tobytes(), 1)]
+
+    parts = sets.where("sketch is not null").select("sketch").rdd.map(lambda r: bytes(r[0]))
+    groups = max(1, int(parts.getNumPartitions() ** 0.5))
+    return parts.mapPartitions(total).coalesce(groups, shuffle=True).mapPartitions(total).coalesce(1, shuffle=True).mapPartitions(total)
+
+
 def _frequencies(sets: DataFrame) -> np.ndarray:
     """Sum of the tasks' sketches: a fixed number of counters, however many rows."""
-    zero = np.zeros(1 << SKETCH_BITS, np.int64)
-    parts = sets.where("sketch is not null").select("sketch").rdd
-    return parts.treeAggregate(zero, lambda a, r: a + np.frombuffer(zlib.decompress(r[0]), np.int64), np.add, depth=2)
+    found = _merged(sets).collect()
+    return np.frombuffer(zlib.decompress(found[0]), np.int64) if found else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
 def _prefixes(docs: DataFrame, shared) -> DataFrame:
@@ -401,6 +419,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     chunked = _chunked(opened)
     met = _met(opened, chunked, docs, shared)
     cross = _crossing(opened, chunked)
+    shared.destroy()  # all that reads it is stored
     links = _verified(cross, docs)
     release(opened, chunked, cross)
     more = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(met).union(links)
