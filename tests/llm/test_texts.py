@@ -67,6 +67,15 @@ def test_bpe_merges_agree(codec, reference):
             assert codec._merge_long(text.encode()) == codec.merge(text.encode()) == reference.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_bpe_decodes_by_trees_of_any_fan(monkeypatch, fan):
+    monkeypatch.setattr(bpe, "FAN", fan)
+    own = bpe.codec(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    ids = own.encode("many words, é and ក, again and again " * 20)
+    for n in (0, 1, 2, fan - 1, fan, fan + 1, fan * fan, fan * fan + 1, len(ids)):
+        assert own.decode(ids[:n]) == b"".join(own.bytes_of[i] for i in ids[:n])
+
+
 def test_bpe_matches_go_through_joins(spark):
     """Every match of a whole table that isn't one token is put together by joins; only equal short halves are remembered."""
     own = bpe.ByteBPE(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)

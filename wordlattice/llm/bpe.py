@@ -41,6 +41,8 @@ LEAF, LEAVES = 8, 200_000
 #: Pairs of neighbouring tokens remembered with what they merge to.
 SEAMS = 200_000
 NEVER = 1 << 62
+#: Neighbours that a node of the decoding tree concatenates.
+FAN = 16
 
 
 class ByteBPE:
@@ -69,12 +71,9 @@ class ByteBPE:
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
         matches = self.find(text)
-        found = list(map(self.young.get, matches))
-        if None in found:
-            for match in {m for m, ids in zip(matches, found, strict=True) if ids is None}:
-                self.young[match] = self.old.get(match) or tuple(self.encode_match(match.encode()))
-            found = map(self.young.__getitem__, matches)
-        return list(chain.from_iterable(found))
+        for match in set(matches).difference(self.young):
+            self.young[match] = self.old.get(match) or tuple(self.encode_match(match.encode()))
+        return list(chain.from_iterable(map(self.young.__getitem__, matches)))
 
     def encode_match(self, data: bytes) -> list[int]:
         """Token ids of one match of the pattern."""
@@ -89,7 +88,8 @@ class ByteBPE:
         if len(data) == 1:
             return [self.ranks[data]]
         half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        tree = self.leaf if len(data) <= 2 * LEAF - 1 else self.tree
+        return self.join(tree(data[:half]), tree(data[half:]))
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings; associative, [] is its unit."""
@@ -156,10 +156,9 @@ class ByteBPE:
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of token ids, concatenated up the tree."""
-        level = [self.bytes_of[i] for i in ids]
+        level = list(map(self.bytes_of.__getitem__, ids))
         while len(level) > 1:
-            odd = level[-1:] if len(level) & 1 else []
-            level = [a + b for a, b in zip(level[::2], level[1::2], strict=False)] + odd
+            level = [b"".join(level[i : i + FAN]) for i in range(0, len(level), FAN)]
         return level[0] if level else b""
 
 
