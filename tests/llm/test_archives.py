@@ -129,6 +129,71 @@ def test_words_that_are_joined_for_the_library(library, tmp_path):
     assert [g.tolist() for g in own.encode([*texts, None])] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, ""]]
 
 
+def counted(monkeypatch):
+    """An encoder, and the stretches that its library is given."""
+    own, given = tokenfile.WordBPE(public_tokenizers.path(tokenfile.VOCABULARY)), []
+    batch = own._batch
+    monkeypatch.setattr(own, "_batch", lambda texts: given.extend(p for t in texts for p in t.split(" ")) or batch(texts))
+    return own, given
+
+
+def test_often_met_stretches_stay_remembered(monkeypatch, library):
+    monkeypatch.setattr(tokenfile, "MEMO", 200)
+    own, given = counted(monkeypatch)
+    often = " ".join(f"often{chr(97 + i)}" for i in range(20))
+    own.encode([often] * 50)
+    for k in range(5):
+        own.encode([" ".join(f"{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150))])
+    given.clear()
+    assert own.encode([often])[0].tolist() == library(often) and given == []
+
+
+def test_marks_after_known_words_need_no_library(monkeypatch, library):
+    own, given = counted(monkeypatch)
+    own.encode(["word caf\u00e9 7 *** !! ), . ,"])
+    given.clear()
+    text = "word*** caf\u00e9, 7), Word. caf\u00e9!! caf\u00e9. word), CAF\u00c9***"
+    assert own.encode([text])[0].tolist() == library(text) and given == []
+    # what looks like it, but isn't
+    texts = ["it's' a'' ''s 's! x'S. \u00b2! \u00bd, \u00aa. e\u0301. \u0437. <|endoftext|>. <|endoftext|>a. a<|b|>, <! \u00a0. a\u00a0.", "a.\u0301 a<\u0338 \u0301. A\u030a, |. a|. a|", "***", "'", "x\x85. \u212b. \u03a3. \u0130."]
+    assert [g.tolist() for g in own.encode(texts)] == [library(t) for t in texts]
+
+
+@pytest.mark.parametrize(("memo", "ids", "taken"), [(10, 1 << 22, 3), (100, 50, 1 << 16), (100, 5000, 7)])
+def test_a_full_memory_changes_no_ids(monkeypatch, library, memo, ids, taken):
+    from tests.test_text import noise
+
+    for name, value in ("MEMO", memo), ("MEMO_IDS", ids), ("TAKEN", taken), ("JOINED", 4):
+        monkeypatch.setattr(tokenfile, name, value)
+    own = tokenfile.WordBPE(public_tokenizers.path(tokenfile.VOCABULARY))
+    texts = [t for _, t in DOCS if len(t or "") < 9000] + noise(200, 12) + ["abc, def. abc*** ghi " * 3, "y" * 900]
+    for end in (2, 7):
+        for i in range(0, len(texts), 5):
+            assert [g.tolist() for g in own.encode(texts[i : i + 5], end)] == [[*library(t)[:-1], end] for t in texts[i : i + 5]]
+        assert own.encode([]) == []
+
+
+def test_a_failed_call_leaves_no_stretch_without_ids(monkeypatch, library):
+    own = tokenfile.WordBPE(public_tokenizers.path(tokenfile.VOCABULARY))
+    own.encode(["known words"])
+    batch = own._batch
+    monkeypatch.setattr(own, "_batch", lambda texts: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        own.encode(["unknown words"])
+    monkeypatch.setattr(own, "_batch", batch)
+    texts = ["unknown words", "KNOWN\u2028e\u0301 words."]
+    assert [g.tolist() for g in own.encode(texts)] == [library(t) for t in texts]
+
+
+def test_other_added_tokens_get_whole_texts(tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
+    t.add_tokens(["two words", "ab."])
+    t.save(str(tmp_path / "more.json"))
+    texts = ["see two words here", "ab. cab."]
+    own = tokenfile.WordBPE(str(tmp_path / "more.json"), special=True)
+    assert [g.tolist() for g in own.encode(texts)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
 @pytest.mark.parametrize("size", [tokenfile.FILE_BYTES, 3000])
 def test_token_files(spark, tmp_path, monkeypatch, library, size):
     monkeypatch.setattr(tokenfile, "FILE_BYTES", size)

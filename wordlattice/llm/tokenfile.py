@@ -22,10 +22,12 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import struct
 import zlib
-from array import array
+from collections import defaultdict
 from functools import lru_cache
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import public_tokenizers
@@ -47,13 +49,18 @@ FILE_BYTES = 32 << 20
 LEVEL = 3
 #: Words given to the library as one text.
 JOINED = 500
-#: Distinct stretches between blanks in a generation of a worker's memory; it keeps two.
-MEMO = 250_000
+#: Distinct stretches between blanks in a worker's memory, and their ids, before a group of texts.
+MEMO = 300_000
+MEMO_IDS = 1 << 22
+#: Stretches whose ids are taken from memory at once.
+TAKEN = 1 << 16
 
 # fixed values: the steps of the vocabulary for which texts may be encoded by stretches
 _NORMALISER = '{"type":"Sequence","normalizers":[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}]}'
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_SPECIAL = r"<\|[A-Za-z0-9]+\|>"
+# ASCII's marks but the one that special tokens' ends have
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~"
 _SEEKABLE = b"\xb1\xea\x92\x8f"
 _SKIP4 = struct.pack("<II", 0x184D2A50, 4)
 _DOCUMENTS = 0x184D2A51
@@ -61,6 +68,61 @@ _TABLE = 0x184D2A5E
 _DOCUMENT = np.dtype([("null", "<u8"), ("doc_id", "<i8"), ("first", "<u8"), ("count", "<u8")])
 
 
+class _Memory:
+    """Places of stretches, the ids at each place in one pool, and how often each was met.
+
+    A stretch that is looked up in ``places`` and isn't there gets the next place;
+    its ids must be added before they are taken. Place 0 is the end id's.
+    """
+
+    def __init__(self, stretches=()):
+        self.places = defaultdict(count(1 + len(stretches)).__next__, zip(chain([None], stretches), count()))
+        self.pool = np.empty(1 << 16, "<u4")
+        self.used = 0
+        self.starts, self.sizes, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.add([0], np.zeros(1, "<u4"), np.ones(1, np.int64))
+
+    def add(self, places: list[int] | slice, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keeps ``ids``, which are those of each of ``places`` in turn."""
+        more = len(self.places) - len(self.starts)
+        if more > 0:
+            more = np.zeros(max(more, len(self.starts) // 2), np.int64)
+            self.starts, self.sizes, self.met = (np.concatenate((x, more)) for x in (self.starts, self.sizes, self.met))
+        used = self.used + len(ids)
+        if used > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.empty(max(used - self.used, len(self.pool) // 2), "<u4")))
+        self.pool[self.used : used] = ids
+        self.sizes[places] = sizes
+        self.starts[places] = self.used + np.cumsum(sizes) - sizes
+        self.used = used
+
+    def best(self) -> _Memory:
+        """A memory of the stretches met most often, the later ones of equals, up to half of MEMO and of MEMO_IDS; none of very many ids."""
+        n = len(self.places)
+        order = np.lexsort((np.arange(1, n), self.met[1:n]))[::-1] + 1
+        order = order[self.sizes[order] <= MEMO_IDS // 1000][: MEMO // 2]
+        order = np.sort(order[np.cumsum(self.sizes[order]) <= MEMO_IDS // 2])
+        kept = np.zeros(n, bool)
+        kept[order] = True
+        out = _Memory(list(compress(self.places, kept.tolist())))
+        out.add(slice(1, len(order) + 1), *self.take(order))
+        out.met[1 : len(order) + 1] = self.met[order] // 2
+        return out
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids at ``places`` in turn, and the number of them at each."""
+        sizes = self.sizes[places]
+        ids, end = np.empty(int(sizes.sum()), "<u4"), 0
+        for i in range(0, len(places), TAKEN):
+            some = sizes[i : i + TAKEN]
+            before = np.cumsum(some) - some
+            at = np.repeat(self.starts[places[i : i + TAKEN]] - before, some)
+            at += np.arange(len(at))
+            ids[end : end + len(at)] = self.pool[at]
+            end += len(at)
+        return ids, sizes
+
+
 class WordBPE:
     """The tokenizers library's encoding of a text, remembered for each stretch between blanks.
 
@@ -68,75 +130,100 @@ class WordBPE:
     pattern looks beyond one, so a text's ids are those of its stretches in order.
     Strings of special tokens in a text are ordinary text; with ``special`` they
     are those tokens, as by the library's default. A vocabulary with another
-    normaliser or pattern is given whole texts.
+    normaliser or pattern, or special tokens of another form, is given whole texts.
     """
 
     def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not special
-        # two generations: when the young one is full it becomes the old one, from which what is met again comes back
+        self.normaliser = self.library.normalizer
         steps = json.loads(self.library.pre_tokenizer.__getstate__()).get("pretokenizers", [{}]) if self.library.pre_tokenizer else [{}]
-        known = self.library.normalizer and json.loads(self.library.normalizer.__getstate__()) == json.loads(_NORMALISER)
-        self.by_stretch = bool(known) and steps[0].get("pattern") == {"Regex": _PATTERN}
+        known = self.normaliser and json.loads(self.normaliser.__getstate__()) == json.loads(_NORMALISER)
+        plain = all(re.fullmatch(_SPECIAL, t.content) and not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in self.library.get_added_tokens_decoder().values())
+        self.by_stretch = bool(known) and plain and steps[0].get("pattern") == {"Regex": _PATTERN}
         #: whether a token ends a word
         self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         self.ends[[i for token, i in self.library.get_vocab(with_added_tokens=True).items() if token.endswith("</w>")]] = True
-        self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memory = _Memory()
 
     def _batch(self, texts: list[str]):
         return self.library.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _learn(self, parts: set[str]) -> None:
-        """Brings ``parts``, none of which is there, into the young generation.
+    def _learn(self, known: int) -> None:
+        """Brings the ids of the stretches whose places begin at ``known`` into the memory.
 
-        A full stop or comma after a letter or digit is a token of its own, so a
-        stretch that ends in one is put together from the rest and the mark.
+        Marks at the end of a stretch, after a letter or digit, are one match of
+        the pattern, so such a stretch is put together from the rest and its marks.
         """
-        young, old = self.young, self.old
-        missing = parts.difference(old)
-        young.update((p, old[p]) for p in parts.difference(missing))
-        marked = [p for p in missing if p[-1:] in self.marks and p[-2:-1] in _PLAIN]
-        rests = {p[:-1] for p in marked}
-        young.update((p, old[p]) for p in rests.difference(rests.difference(old)))
-        missing = (missing.difference(marked) | rests).difference(young)
-        # letters below U+0100 alone are one word to the pattern and stay letters in the normaliser
-        fresh = [p for p in missing if p.isalpha() and _latin(p)]
-        for i in range(0, len(fresh), JOINED):
-            some = fresh[i : i + JOINED]
-            ids = np.array(self._batch([" ".join(some)])[0].ids, "<u4")
-            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(stops) == len(some) and stops[-1] == 4 * len(ids):
-                data, start = ids.tobytes(), 0
-                for part, stop in zip(some, stops.tolist(), strict=True):
-                    young[part] = data[start:stop]
-                    start = stop
-        fresh = [p for p in missing if p not in young]
-        for part, e in zip(fresh, self._batch(fresh) if fresh else [], strict=True):
-            young[part] = array("I", e.ids).tobytes()
-        for part in marked:
-            young[part] = young[part[:-1]] + self.marks[part[-1]]
+        memory, places = self.memory, self.memory.places
+        new = list(islice(reversed(places), len(places) - known))[::-1]
+        marked, pieces, words, words_at, others, others_at = [], [], [], [], [], []
+        for place, part in enumerate(new, known):
+            if part.isalpha() and _latin(part):
+                words.append(part)
+                words_at.append(place)
+            elif (rest := part.rstrip(_MARKS)) != part and rest[-1:].isalnum() and rest[-1] < "\u0100":
+                marked.append(place)
+                for piece in (rest, part[len(rest) :]):
+                    pieces.append(places[piece])
+                    if pieces[-1] == known + len(new):
+                        new.append(piece)
+            else:
+                others.append(part)
+                others_at.append(place)
+        # letters below U+0100 alone are one word to the pattern; to the normaliser, lower case is all there is to do
+        self.library.normalizer = None
+        try:
+            for i in range(0, len(words), JOINED):
+                some, some_at = words[i : i + JOINED], words_at[i : i + JOINED]
+                ids = np.array(self._batch([" ".join(some).lower()])[0].ids, "<u4")
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) == len(some) and stops[-1] == len(ids):
+                    memory.add(some_at, ids, np.diff(stops, prepend=0))
+                else:
+                    others += some
+                    others_at += some_at
+        finally:
+            self.library.normalizer = self.normaliser
+        if others:
+            found = [e.ids for e in self._batch(others)]
+            memory.add(others_at, np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)))
+        if marked:
+            ids, sizes = memory.take(np.array(pieces))
+            memory.add(marked, ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
         """Ids of each text with ``end`` appended, as little-endian uint32."""
-        out, last = [], struct.pack("<I", end)
         if not self.by_stretch:
             return [np.array([*e.ids, end], "<u4") for e in self._batch([t or "" for t in texts])]
-        rows = []
-        for text in texts:
-            text = text or ""
-            # the normaliser would do so; here it makes fewer stretches, but could make special tokens
-            if "<|" not in text and _latin(text):
-                text = text.lower()
-            rows.append(text.replace("\n", " ").split(" "))
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
-        if missing := set().union(*rows).difference(self.young):
-            self._learn(missing)
-        found = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(found, parts)) + last, "<u4") for parts in rows]
+        if not texts:
+            return []
+        if len(self.memory.places) > MEMO or self.memory.used > MEMO_IDS:
+            self.memory = self.memory.best()
+        memory, rows = self.memory, []
+        memory.pool[0] = end
+        known, place = len(memory.places), memory.places.__getitem__
+        try:
+            for text in texts:
+                text = text or ""
+                # the normaliser would do so; here it makes fewer stretches, but could make special tokens
+                if "<|" not in text and _latin(text):
+                    text = text.lower()
+                parts = text.replace("\n", " ").split(" ")
+                parts.append(None)
+                rows.append(np.fromiter(map(place, parts), np.int32, len(parts)))
+            if len(memory.places) > known:
+                self._learn(known)
+        except BaseException:
+            self.memory = _Memory()  # new stretches have no ids
+            raise
+        found = np.concatenate(rows)
+        ids, sizes = memory.take(found)
+        n = len(memory.places)
+        memory.met[:n] += np.bincount(found, minlength=n)
+        stops = np.cumsum(np.add.reduceat(sizes, np.cumsum([0, *map(len, rows[:-1])]))).tolist()
+        return [ids[start:stop] for start, stop in zip([0, *stops], stops)]
 
 
 def _latin(text: str) -> bool:
