@@ -71,3 +71,18 @@ def test_hard_em(spark):
     first = prep.recount(vocabulary, vocabulary.select("word", F.lit(1).alias("n")))
     again, seen = prep.em_round(corpus, vocabulary, first, Options("fmm"))
     assert {r.word: r.n for r in seen.collect()}["កខ"] == 15 and {r.word: r["count"] for r in again.entries.collect()}["ក"] == 0
+
+
+def test_gold_lines_are_those_of_column_expressions(spark, tmp_path, monkeypatch):
+    """Texts of one batch are cut apart at their ends, whatever they end with."""
+    from pyspark.sql import functions as F
+    from wordlattice.plans import fixtures as fx
+
+    texts = [None, "", ".", "\n\n.", "ab cd.ef", "gh", "i", " .x..y\nz ", "é😀a﻿b\x00c", "កa៝b៞c៚", "a" * 50 + ".\n" + "b", "end."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for alphabet in (fx.CLEAN, fx.MARKS):
+        shown = F.filter(F.split(F.regexp_replace(F.translate("s", fx.LATIN, alphabet), "[^\\x{1780}-\\x{17DD}]+", " "), " "), lambda w: w != "")
+        want = fx.sentences(spark, str(tmp_path)).select("doc_id", "sent", shown.alias("words")).where("size(words) > 0")
+        for part in (1, 20, 1_000_000):
+            monkeypatch.setattr(fx, "PART_CHARS", part)
+            assert sorted(fx.gold(spark, str(tmp_path), alphabet).collect()) == sorted(want.collect())
